@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planwright.llm import exact_dedup, line_dedup
+from planwright.llm import exact_dedup, fingerprint, language_id, line_dedup, piece_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_syncmer_fingerprint": fingerprint.op1_syncmer_fingerprint,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op5_piece_bpe": piece_bpe.op5_piece_bpe,
+        "op7_language_id": language_id.op7_language_id,
         "op9_line_dedup": line_dedup.op9_line_dedup,
     }
 
