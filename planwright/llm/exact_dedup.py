@@ -13,11 +13,12 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from planwright.llm.common import documents, written
 
 #: Distinct digests that share one filter: bounds the memory of a build and of a probe.
 KEYS_PER_BUCKET = 32_768
+#: Up to this size together, the filters of shared digests are sent to every task.
+FILTER_BYTES = 64 << 20
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -113,7 +116,7 @@ class BinaryFuseFilter:
         return cls(seed, segment, segments, np.frombuffer(raw, np.uint8, offset=24))
 
 
-def _keys(digests: pd.Series) -> np.ndarray:
+def _keys(digests: Iterable[bytes]) -> np.ndarray:
     raw = b"".join(bytes(d[:8]).ljust(8, b"\0") for d in digests)
     return np.frombuffer(raw, np.uint64)
 
@@ -160,6 +163,32 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def screened(rows: DataFrame, digests: DataFrame) -> DataFrame:
+    """``rows`` (with a column digest) without most of those whose digest is not in ``digests``.
+
+    The filters of ``digests`` go to every task if they are at most ``FILTER_BYTES`` together;
+    beyond that all rows stay, and the join that follows moves them by digest.
+    """
+    held = Snapshot.of(digests)
+    if (held.filters.agg(F.sum(F.length("filter"))).first()[0] or 0) > FILTER_BYTES:
+        return rows
+    filters = rows.sparkSession.sparkContext.broadcast({r["bucket"]: r["filter"] for r in held.filters.collect()})
+    at, place = len(rows.columns), rows.columns.index("digest")
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = {b: BinaryFuseFilter.from_bytes(f) for b, f in filters.value.items()}
+        for batch in batches:
+            own = batch.column(at).to_numpy(zero_copy_only=False)
+            keys = _keys(batch.column(place).to_pylist())
+            hit = np.zeros(len(own), bool)
+            for b in np.unique(own):
+                if b in opened:
+                    hit[own == b] = opened[b].contains(keys[own == b])
+            yield batch.filter(pa.array(hit)).select(list(range(at)))
+
+    return rows.withColumn("__bucket", bucket_of("digest", held.buckets)).mapInArrow(probe, rows.schema)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row for each row of ``docs``: id, keep_id (largest id with the same text), group_size,
     kept, text_sha256. ``batches``: into how many arrivals, by a hash of the id, the table is cut."""
@@ -180,7 +209,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = written((shared if merged is None else shared.unionByName(merged)).distinct(), "shared")
 
     # Byte checks: copies collapse map-side, so a hot text travels once for each task.
-    classes = own.withColumn("digest", digest(F.col("text"))).join(shared, "digest", "left_semi")
+    classes = screened(own.withColumn("digest", digest(F.col("text"))), shared).join(shared.hint("merge"), "digest", "left_semi")
     classes = classes.groupBy("digest", "text").agg(F.max("id").alias("keep"), F.count("*").alias("n"))
     exact = written(classes.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("n").alias("n"), F.count("*").alias("texts")), "classes")
 
