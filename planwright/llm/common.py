@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it. On a cluster whose
+    machines do not share that path, ship the package with ``--py-files``."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage in a
     way that survives lost executors. The tables go when the Python process ends, or by
@@ -69,6 +80,7 @@ def ascii_lower(c: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

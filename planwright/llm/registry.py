@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planwright.llm import exact_dedup, fingerprint, language_id, line_dedup, piece_bpe
+from planwright.llm import bloom_lm, exact_dedup, fingerprint, language_id, line_dedup, near_dedup, piece_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_syncmer_fingerprint": fingerprint.op1_syncmer_fingerprint,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op4_minhash_hamming": near_dedup.op4_minhash_hamming,
         "op5_piece_bpe": piece_bpe.op5_piece_bpe,
+        "op6_bloom_lm": bloom_lm.op6_bloom_lm,
         "op7_language_id": language_id.op7_language_id,
         "op9_line_dedup": line_dedup.op9_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL, "op9_line_dedup": line_dedup.SQL}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op4_minhash_hamming": near_dedup.SQL, "op9_line_dedup": line_dedup.SQL}
