@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planwright.llm import bloom_lm, exact_dedup, fingerprint, language_id, line_dedup, near_dedup, packing, piece_bpe, span_dedup
+from planwright.llm import bloom_lm, exact_dedup, fingerprint, language_id, line_dedup, near_dedup, packing, piece_bpe, span_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_id": language_id.op7_language_id,
         "op8_best_fit": packing.op8_best_fit,
         "op9_line_dedup": line_dedup.op9_line_dedup,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
