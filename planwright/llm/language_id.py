@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwright.llm.common import documents
+from planwright.llm.tokens import small
 
 UND = "und"
 #: Characters that one step of scoring takes at most; longer texts take several steps.
@@ -253,7 +254,7 @@ def identify(docs: DataFrame, models: CharModels, id_col: str = "doc_id", text_c
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             langs, score, rejected = sent.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[f"c{i}" for i in range(batch.num_columns + 3)])
 

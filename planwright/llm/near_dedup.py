@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from planwright.llm.common import documents, shuffle_parts, written
 from planwright.llm.components import components
 from planwright.llm.exact_dedup import screened
-from planwright.llm.tokens import WordHashes, mix, raw
+from planwright.llm.tokens import WordHashes, mix, raw, small
 
 SYMBOLS, CHUNKS, MISS, BLOCK = 64, 16, 1e-6, 512
 WIDE = SYMBOLS // CHUNKS
@@ -129,7 +129,7 @@ def set_rows(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for batch in batches:
+        for batch in small(batches):
             sets = [np.unique(shingles(words.of(t), k)) for t in raw(batch.column(1))]
             some = [i for i, s in enumerate(sets) if len(s)]
             sig: list[bytes | None] = [None] * len(sets)
@@ -333,7 +333,7 @@ def near_links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for b in batches:
+        for b in small(batches):
             found_sets = [np.unique(shingles(words.of(t), k)).tobytes() for t in raw(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found_sets, pa.binary())], names=["cls", "set"])
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwright.llm.common import documents, shuffle_parts, written
-from planwright.llm.tokens import raw
+from planwright.llm.tokens import raw, small
 
 SHARD, CLUSTER_BITS = 8192, 256
 
@@ -96,7 +96,7 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             words = [t.lower().split() for t in raw(batch.column(2))]
             clusters = [xxhash.xxh3_64_intdigest(b" ".join(w)) >> 1 for w in words]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(clusters, pa.int64())], names=["id", "source", "n", "cluster"])

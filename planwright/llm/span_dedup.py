@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from planwright.llm.common import documents, written
+from planwright.llm.tokens import small
 
 LONGEST = 20
 _CUT = re.compile(r"(?<=[.!?])(?=[ \t])|(?<=[\n。！？])")
@@ -79,7 +80,7 @@ def span_rows(docs: DataFrame, min_units: int, min_words: int) -> DataFrame:
     """``docs`` (id, text) -> one row for each span: h1, h2, id, pos."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found, owner = [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 if t:
@@ -106,7 +107,7 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at, n = docs.columns.index(text_col), len(docs.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts, lists = batch.column(at).to_pylist(), batch.column(n)
             total, gone = [], []
             for i, t in enumerate(texts):

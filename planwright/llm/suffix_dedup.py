@@ -26,7 +26,7 @@ from planwright.llm.anchors import anchors
 from planwright.llm.common import documents, shuffle_parts, written
 from planwright.llm.exact_dedup import screened
 from planwright.llm.suffix_sort import repeated_starts
-from planwright.llm.tokens import raw
+from planwright.llm.tokens import raw, small
 
 #: Bytes of an anchor; bytes of a shard, about; memory of a sort before it goes to disk.
 GRAM, SHARD_BYTES, MEMORY = 64, 3 << 20, 256 << 20
@@ -36,7 +36,7 @@ def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
     """``texts`` (k, text) -> one row for each anchor: g, seg, k, a (first window), n (windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             text, g, seg, a, b = anchors(raw(batch.column(1)), length, GRAM)
             if len(text):
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(seg.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(a.astype(np.int64)), pa.array((b - a + 1).astype(np.int32))], names=["g", "seg", "k", "a", "n"])
@@ -95,7 +95,7 @@ def sorted_rows(parts: DataFrame, texts: DataFrame, length: int, shards: int) ->
     own = own.dropDuplicates(["k"]).drop("digest").join(by_text.drop("digest").hint("merge"), "k")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             cols: list[list] = [[], [], [], [], []]
             for k, text, some in zip(batch.column(0).to_pylist(), raw(batch.column(1)), batch.column(2).to_pylist()):
                 for p in some:
@@ -163,7 +163,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = own.join(ranges.hint("merge"), "k", "left").select("id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             lists = batch.column(2)
             for i, text in enumerate(raw(batch.column(1))):
