@@ -68,25 +68,24 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, batches: int, fanout: int = 4) -> DataFrame:
-    """(id, drop): for each id that loses lines, the keys' hash pairs it loses."""
+def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int = 4) -> DataFrame:
+    """``docs`` (id, th, text) -> (id, th, lost): of each text that loses lines, their places."""
     key = line_key(F.col("line"))
     keyed = (
-        docs.select(F.col(id_col).alias("id"), F.explode(_lines(F.col(text_col))).alias("line"))
+        docs.select("id", "th", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
         .filter(F.length("line") >= min_chars)
-        .select("id", key.alias("key"))
+        .select("id", "th", "pos", key.alias("key"))
         .filter(F.length("key") >= min_chars)
-        .select("id", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(0x5BD1E995), "key").alias("h2"))
+        .select("id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(0x5BD1E995), "key").alias("h2"))
     )
-    # Lines of one document stand in one row group; the pair (id, key) is wanted once.
-    keyed = keyed.distinct().withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)))
-    keyed = written(keyed, "lines")
+    keyed = written(keyed.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches))), "lines")
     runs = LineRuns(fanout)
     for b in range(batches):
-        runs.add(keyed.filter(F.col("batch") == b).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("top")))
+        once = keyed.filter(F.col("batch") == b).select("h1", "h2", "id").distinct()  # a document counts once
+        runs.add(once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("top")))
     frequent = written(runs.compacted().filter(F.col("n_docs") >= min_docs), "frequent")
     lost = keyed.join(frequent, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("top")))
-    return lost.groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
+    return lost.groupBy("id", "th").agg(F.collect_list("pos").alias("lost"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4) -> DataFrame:
@@ -95,18 +94,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A key (line stripped of ASCII white space, A-Z lower-cased) of at least ``min_chars`` code
     points found in at least ``min_docs`` documents stays only in the largest id that holds it.
     """
-    drop = dropped_lines(docs, id_col, text_col, min_chars, min_docs, batches).select(F.col("id").alias("__id"), F.col("drop").alias("__drop"))
-    joined = docs.join(drop, F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    lines = _lines(F.col(text_col))
-
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return (F.length(line) < min_chars) | ~F.array_contains(F.col("__drop"), F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(0x5BD1E995), key).alias("h2")))
-
-    kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, stays))
-    out = joined.withColumn("__lines", lines).withColumn("__kept", kept)
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n"))
-    return out.withColumns({text_col: text, "n_lines": F.size("__lines").cast("long"), "n_dropped": (F.size("__lines") - F.size("__kept")).cast("long")}).drop("__id", "__drop", "__lines", "__kept")
+    docs = docs.drop("n_lines", "n_dropped")
+    names = docs.columns
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))])  # whatever the columns are called
+    ident, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    th = F.xxhash64(text)
+    lost = dropped_lines(own.select(F.col(ident).alias("id"), th.alias("th"), F.col(text).alias("text")), min_chars, min_docs, batches)
+    joined = own.join(lost, F.col(ident).eqNullSafe(F.col("id")) & (th == F.col("th")), "left").withColumn("lines", _lines(F.col(text)))
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
+    kept = F.transform(places, lambda i: F.get(F.col("lines"), i))
+    n = F.size("lines").cast("long")
+    gone = F.when(F.col("lost").isNull(), F.lit(0).cast("long")).otherwise(n - F.size(places))
+    out = joined.select(*[F.when(F.col("lost").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else F.col(c) for c in own.columns], n.alias("n_lines"), gone.alias("n_dropped"))
+    return out.toDF(*names, "n_lines", "n_dropped")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

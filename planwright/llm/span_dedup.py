@@ -97,14 +97,16 @@ def span_rows(docs: DataFrame, min_units: int, min_words: int) -> DataFrame:
 
 def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_units: int = 2, min_words: int = 25) -> DataFrame:
     """``docs`` with all columns, the text rid of repeated spans, and n_units, n_removed."""
+    docs = docs.drop("n_units", "n_removed")
     rows = written(span_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), min_units, min_words), "spans")
     first = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first"))
     first = written(first.filter("n > 1").select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos")), "repeats")
     later = rows.join(first.hint("merge"), ["h1", "h2"]).filter(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))))
     # What a document loses is named by place and hash, so texts that share an id do not mix.
-    lost = later.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("pos", "h1")).alias("__lost"))
-    joined = docs.join(lost.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+    lost = later.groupBy("id").agg(F.collect_list(F.struct("pos", "h1")).alias("lost"))
     at, n = docs.columns.index(text_col), len(docs.columns)
+    own = docs.toDF(*[f"c{j}" for j in range(n)])
+    plain = own.join(lost.hint("merge"), F.col(f"c{docs.columns.index(id_col)}").eqNullSafe(F.col("id")), "left").drop("id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -135,7 +137,6 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[f"c{j}" for j in range(n + 2)])
 
     kinds = [*[f.dataType for f in docs.schema], LongType(), LongType()]
-    plain = joined.toDF(*[f"c{j}" for j in range(n)], "lost")
     out = plain.mapInArrow(cut, StructType([StructField(f"c{j}", k) for j, k in enumerate(kinds)]))
     return out.toDF(*docs.columns, "n_units", "n_removed")
 
