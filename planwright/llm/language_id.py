@@ -32,6 +32,8 @@ UND = "und"
 BLOCK = 1 << 20
 #: Characters of evidence after which the score grows no surer.
 EVIDENCE = 60
+#: Characters that share the probability of one that was never seen.
+UNSEEN = 50_000
 _SPACE = 32
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -157,7 +159,7 @@ class CharModels:
     def look(self, packed: np.ndarray, n: int) -> np.ndarray:
         """Log-probability of the last character of each n-gram after the others, by language."""
         if n == 0:
-            return np.full((len(packed), len(self.langs)), self.floor, np.float32)
+            return np.full((len(packed), len(self.langs)), self.floor - np.log(UNSEEN), np.float32)
         at, hit = self._find(packed, n)
         out = np.empty((len(packed), len(self.langs)), np.float32)
         out[hit] = self.logp[n - 1][at[hit]]
@@ -214,7 +216,7 @@ class CharModels:
         for k, lang in enumerate(self.langs):
             ce, n = self.entropy(by_lang.get(lang, []))
             own = ce[n >= shortest, k] if len(n) else []
-            if len(own) >= 20:
+            if len(own) >= 10:
                 self.limit[k] = np.quantile(own, quantile) + margin
 
     def predict(self, texts: list[str | None], shortest: int = 20) -> tuple[list[str], np.ndarray, np.ndarray]:
