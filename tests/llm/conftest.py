@@ -1,0 +1,61 @@
+import random
+
+import pytest
+
+WORDS = "the of and to in is that for it was on are with as by this be from at".split()
+
+
+def sentence(rng, n):
+    w = [rng.choice(WORDS) if rng.random() < 0.4 else "".join(rng.choice(["th", "er", "on", "an", "re", "he"]) for _ in range(rng.randint(1, 4))) for _ in range(n)]
+    return " ".join(w).capitalize() + "."
+
+
+def prose(rng, sentences):
+    return "".join(sentence(rng, rng.randint(4, 12)) + (" " if rng.random() < 0.7 else "\n") for _ in range(sentences)).strip()
+
+
+@pytest.fixture(scope="session")
+def corpus():
+    """Rows (doc_id, text, lang, source, n_chars): copies, near copies, shared passages and lines,
+    nulls, empty and long texts, repeated rows."""
+    rng = random.Random(11)
+    passage = " ".join(sentence(rng, 10) for _ in range(7))
+    line = "Licensed to everyone under the terms of the common licence."
+    texts = [prose(rng, rng.randint(1, 25)) for _ in range(60)]
+    texts += [texts[3], texts[3], texts[5]]
+    for t in texts[6:16]:
+        words = t.split(" ")
+        words[rng.randrange(len(words))] = "changed"
+        texts.append(" ".join(words))
+    texts += [prose(rng, 3) + "\n" + passage + "\n" + prose(rng, 3) for _ in range(4)]
+    texts += [prose(rng, 2) + "\n  " + line.upper() + "\t\n" + prose(rng, 1) for _ in range(6)]
+    texts += [None, "", "   ", "\n\n", "one", "One ", "two words", "a b c d", "ü" * 300, "x" * 5000, "日本語のテキスト。" * 40, prose(rng, 400), "tail\n", "🙂 emoji 🙂"]
+    rows = [(i * 3, t, rng.choice(["en", "de", None]), rng.choice(["s1", "s2", None]), len(t or "")) for i, t in enumerate(texts)]
+    rows.append(rows[7])
+    rows.append((None, "a row without an id and some words in it", "en", "s1", 40))
+    return rows
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="session")
+def docs(spark, corpus):
+    from planwright.llm.common import importable
+
+    importable(spark)
+    return spark.createDataFrame(corpus, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="session")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def clashing(docs):
+    """The same rows beside columns with names that operators may use inside."""
+    from pyspark.sql import functions as F
+
+    names = ["id", "k", "h1", "h2", "n", "digest", "batch", "row", "w", "pos", "key", "cls", "__id", "lines", "bucket", "sig", "th", "rejected_", "kept_", "c0", "c1", "lost", "text_", "g", "seg"]
+    return docs.withColumns({n: F.lit("other") for n in names})

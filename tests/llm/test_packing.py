@@ -1,0 +1,72 @@
+import random
+from collections import defaultdict
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from planwright.llm import packing as pk
+
+
+def brute(lengths, sources, clusters, capacity, per_source):
+    """The same packing by looking at every bin each time."""
+    bins, out, made = [], [], 0
+    for i in sorted(range(len(lengths)), key=lambda i: (-(lengths[i] % capacity), i)):
+        whole, rest = divmod(lengths[i], capacity)
+        for p in range(whole):
+            out.append((i, p, p * capacity, capacity, made, 0))
+            made += 1
+        if not rest:
+            continue
+        fits = [b for b in bins if b["room"] >= rest and clusters[i] not in b["clusters"] and b["sources"].count(sources[i]) < per_source]
+        if fits:
+            b = min(fits, key=lambda b: (b["room"], b["n"]))
+        else:
+            b = {"n": made, "room": capacity, "clusters": set(), "sources": []}
+            bins.append(b)
+            made += 1
+        out.append((i, whole, whole * capacity, rest, b["n"], capacity - b["room"]))
+        b["room"] -= rest
+        b["clusters"].add(clusters[i])
+        b["sources"].append(sources[i])
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 70), st.integers(0, 3), st.integers(0, 300)), max_size=60), st.integers(1, 3))
+def test_same_as_brute_force(items, per_source):
+    lengths, sources, clusters = ([x[i] for x in items] for i in range(3))
+    assert pk.pack(lengths, sources, clusters, 20, per_source) == brute(lengths, sources, clusters, 20, per_source)
+
+
+def check(rows, out, capacity, per_source):
+    by_doc, by_bin = defaultdict(list), defaultdict(list)
+    for r in out:
+        by_doc[r.doc_id].append(r)
+        by_bin[r.bin].append(r)
+    text = {r[0]: r for r in rows}
+    assert set(by_doc) == {r[0] for r in rows}
+    for i, pieces in by_doc.items():
+        n = sum(r[0] == i for r in rows) * (len((text[i][1] or "").split()) + 1)
+        assert sum(p.n_tokens for p in pieces) == n
+    for pieces in by_bin.values():
+        assert sum(p.n_tokens for p in pieces) <= capacity
+        pieces.sort(key=lambda p: p.place)
+        assert all(a.place + a.n_tokens == b.place for a, b in zip(pieces, pieces[1:]))
+        keys = [" ".join((text[p.doc_id][1] or "").lower().split()) for p in pieces]
+        assert len(set(keys)) == len(keys)
+        sources = [text[p.doc_id][3] for p in pieces]
+        assert max(map(sources.count, sources)) <= per_source
+
+
+def test_operator(corpus, docs, clashing, nothing, monkeypatch):
+    check(corpus, pk.best_fit(docs, capacity=256).collect(), 256, 4)
+    monkeypatch.setattr(pk, "SHARD", 20)
+    check(corpus, pk.best_fit(clashing, capacity=64, per_source=2).collect(), 64, 2)
+    assert pk.best_fit(nothing).count() == 0
+
+
+def test_hot_source_and_cluster():
+    rng = random.Random(1)
+    lengths = [rng.randint(1, 30) for _ in range(600)]
+    out = pk.pack(lengths, [0 if i % 3 else 1 for i in range(600)], [7 if i % 3 == 0 else i + 10 for i in range(600)], 100, 4)
+    assert out == brute(lengths, [0 if i % 3 else 1 for i in range(600)], [7 if i % 3 == 0 else i + 10 for i in range(600)], 100, 4)

@@ -1,0 +1,63 @@
+import hashlib
+import random
+
+import pytest
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+sentencepiece = pytest.importorskip("sentencepiece")
+from planwright.llm import piece_bpe as pb  # noqa: E402
+
+PATH = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=PATH)
+
+
+@pytest.fixture(scope="module")
+def model():
+    with open(PATH, "rb") as f:
+        return pb.PieceModel(f.read())
+
+
+def texts():
+    rng = random.Random(8)
+    alphabet = "aabbcdeée  \n\n▁ñ日本𓀀\t.\r\x00éthingsation"
+    out = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    return out + ["a" * 3000, " " * 100, "\n" * 30, " a", "a ", "\na", "a\n", "▁", " \n ", "hello" * 300, "the" * 500, ""]
+
+
+def test_same_ids_and_text_as_the_library(model, library):
+    for t in texts():
+        ids = library.encode(t)
+        assert model.encode(t) == ids
+        decoded = library.decode(ids)
+        assert model.decode(ids) == decoded
+        expected = len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        assert model.digests(t) == expected
+
+
+def test_decoding_any_ids(model, library):
+    rng = random.Random(1)
+    for _ in range(1500):
+        ids = [rng.randrange(3, 32000) if rng.random() < 0.7 else rng.randrange(3, 259) for _ in range(8)]
+        assert model.decode(ids) == library.decode(ids)
+
+
+def test_full_caches_change_nothing(library, monkeypatch):
+    monkeypatch.setattr(pb, "CACHE_WORDS", 5)
+    monkeypatch.setattr(pb, "CACHE_PAIRS", 5)
+    with open(PATH, "rb") as f:
+        small = pb.PieceModel(f.read())
+    for t in texts()[:400]:
+        assert small.digests(t)[1] == hashlib.sha256(",".join(map(str, library.encode(t))).encode()).hexdigest()
+
+
+def test_operator(corpus, docs, clashing, nothing, library):
+    got = pb.piece_encode(docs, PATH).collect()
+    assert sorted((r.doc_id, r.ids) for r in got if r.doc_id is not None) == sorted((r[0], library.encode(r[1] or "")) for r in corpus if r[0] is not None)
+    assert all(r.decoded == library.decode(r.ids) for r in got)
+    out = pb.piece_digests(clashing, PATH)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == len(corpus)
+    assert pb.piece_digests(nothing, PATH).count() == 0
