@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from planwright.llm.common import documents
+from planwright.llm.tokens import small
 
 SPACE_MARK = "▁"
-#: Entries of the caches, each of a word or a token pair; a full cache is begun anew.
+#: Entries of the caches: words (two generations of them) and token pairs (begun anew when full).
 CACHE_WORDS, CACHE_PAIRS, CACHED_CHARS = 200_000, 400_000, 48
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
@@ -51,6 +52,7 @@ class PieceModel:
         self.unknown = next((i for i, t in enumerate(self.types) if t == _UNKNOWN), 0)
         self.byte_ids = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == _BYTE} if spec.byte_fallback else {}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
+        self.special = {i for i, t in enumerate(self.types) if t in (_UNKNOWN, _CONTROL)}
         self.unknown_surface = spec.unk_surface
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in self.rank):
             raise ValueError("pieces with a space inside are not supported")
@@ -60,10 +62,14 @@ class PieceModel:
         self.length = [len(p) for p in self.pieces]
         for piece, i in self.ids.items():
             if len(piece) == 1 or self._merge(piece) == [piece]:  # else no merging ever yields it
-                self.machine.add_word(piece, i)
+                self.machine.add_word(piece, (i, len(piece)))
         self.machine.make_automaton()
+        #: Of each piece the longest shorter piece that begins it: what is tried next.
+        self.shorter = [next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.machine), -1) if t == _NORMAL else -1 for p, t in zip(self.pieces, self.types)]
+        self.spelt = [str(i) for i in range(len(self.pieces))]
         self._pairs: dict[tuple[int, int], bool] = {}
         self._words: dict[str, tuple[int, str, str]] = {}
+        self._older: dict[str, tuple[int, str, str]] = {}
 
     def _merge(self, text: str) -> list[str]:
         """Plain merging, best rank first and leftmost among equals: for short strings."""
@@ -91,40 +97,35 @@ class PieceModel:
     def _tokens(self, text: str) -> list[int]:
         """Ids of marked text; a character outside the vocabulary is given as -1 - code point."""
         n = len(text)
-        matches: list[list[int]] = [[] for _ in range(n)]
-        length = self.length
-        for end, i in self.machine.iter(text):
-            matches[end - length[i] + 1].append(i)  # by length, ascending
+        longest = [-1] * n
+        for end, (i, size) in self.machine.iter(text):
+            longest[end - size + 1] = i  # longer matches from a place end later
+        length, shorter, known, fits = self.length, self.shorter, self._pairs, self._fits
         failed = bytearray((n >> 3) + 1)
         out: list[int] = []
-        tried: list[int] = []  # how many matches were left below the chosen one
-        at, left = 0, len(matches[0]) if n else 0
-        fits = self._fits
+        at, token = 0, longest[0] if n else -1
         while at < n:
-            options = matches[at]
-            if not options:
+            if longest[at] < 0:
                 out.append(-1 - ord(text[at]))
-                tried.append(0)
                 at += 1
-                left = len(matches[at]) if at < n else 0
+                token = longest[at] if at < n else -1
                 continue
             before = out[-1] if out else -1
-            while left:
-                left -= 1
-                token = options[left]
+            while token >= 0:
                 to = at + length[token]
-                if not failed[to >> 3] >> (to & 7) & 1 and (before < 0 or fits(before, token)):
+                if not failed[to >> 3] >> (to & 7) & 1 and (before < 0 or (ok := known.get((before, token))) or (ok is None and fits(before, token))):
                     out.append(token)
-                    tried.append(left)
                     at = to
-                    left = len(matches[at]) if at < n else 0
+                    token = longest[at] if at < n else -1
                     break
+                token = shorter[token]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 if not out:
                     raise AssertionError("every known character is a piece, so some encoding exists")
-                token, left = out.pop(), tried.pop()
-                at -= length[token] if token >= 0 else 1
+                last = out.pop()
+                at -= length[last] if last >= 0 else 1
+                token = shorter[last] if last >= 0 else -1
         return out
 
     def _ids(self, text: str) -> list[int]:
@@ -147,12 +148,15 @@ class PieceModel:
     def _word(self, chunk: str) -> tuple[int, str, str]:
         """Of a chunk: number of ids, ids as text, decoded text."""
         found = self._words.get(chunk)
+        if found is None and (found := self._older.get(chunk)) is not None:
+            self._words[chunk] = found
         if found is None:
             ids = self._ids(chunk)
-            found = len(ids), ",".join(map(str, ids)), self._spell(ids)
+            spelt = self.spelt
+            found = len(ids), ",".join([spelt[i] for i in ids]), self._spell(ids)
             if len(chunk) <= CACHED_CHARS:
-                if len(self._words) >= CACHE_WORDS:
-                    self._words.clear()
+                if len(self._words) >= CACHE_WORDS:  # what was used since the last time is in the newer half
+                    self._words, self._older = {}, self._words
                 self._words[chunk] = found
         return found
 
@@ -161,6 +165,8 @@ class PieceModel:
 
     def _spell(self, ids: list[int]) -> str:
         out: list[str] = []
+        if self.byte_of.keys().isdisjoint(ids) and not self.special & set(ids):
+            return "".join([self.pieces[i] for i in ids]).replace(SPACE_MARK, " ")
         run = bytearray()
         for i in [*ids, -1]:
             byte = self.byte_of.get(i)
@@ -186,7 +192,7 @@ class PieceModel:
             empty = sha256(b"").hexdigest()
             return 0, empty, empty
         text = text.replace(SPACE_MARK, " ")
-        words = self._words
+        words = self._words  # may be replaced on the way; a word that is missed then is looked up again
         if self.cut_lines and self.prefix and "  " not in text and " \n" not in text and "\n " not in text and not text.startswith((" ", "\n")) and not text.endswith(" "):
             found = []
             for w in text.replace("\n", " \n").split(" "):
@@ -239,7 +245,7 @@ def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = model_of(model.value)
-        for batch in batches:
+        for batch in small(batches):
             rows = [encoder.digests(t.as_py() or "") for t in batch.column(1)]
             n, ids, decoded = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -255,7 +261,7 @@ def piece_encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = model_of(model.value)
-        for batch in batches:
+        for batch in small(batches):
             ids = [encoder.encode(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([encoder.decode(i) for i in ids], pa.string())], names=["id", "ids", "decoded"])
 
