@@ -210,7 +210,7 @@ class CharModels:
             np.add.at(sums, at, np.add.reduceat(found.astype(np.float64), first, axis=0))
             np.add.at(sizes, at, np.diff(np.r_[first, len(own)]))
 
-    def calibrate(self, by_lang: dict[str, list[str]], quantile: float = 0.995, margin: float = 0.75, shortest: int = 20) -> None:
+    def calibrate(self, by_lang: dict[str, list[str]], quantile: float = 0.995, margin: float = 1.25, shortest: int = 60) -> None:
         """From rows held back of the fit: the cross-entropy beyond which a text is rejected."""
         self.limit = np.full(len(self.langs), np.inf)
         for k, lang in enumerate(self.langs):
@@ -219,7 +219,7 @@ class CharModels:
             if len(own) >= 10:
                 self.limit[k] = np.quantile(own, quantile) + margin
 
-    def predict(self, texts: list[str | None], shortest: int = 20) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def predict(self, texts: list[str | None], shortest: int = 60) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and rejection of each text."""
         own = [t if t else "" for t in texts]
         ce, n = self.entropy(own) if self.langs else (np.zeros((len(own), 1)), np.zeros(len(own), np.int64))
