@@ -11,6 +11,8 @@ Pairs are not emitted from a key's group. Groups become units of at most two blo
 classes; in a unit distances are computed in place, a pair counts only under the first key it
 shares, and only units with a pair within D go on - with the full shingle sets of the classes
 concerned - to a second step, which confirms links exactly and returns a spanning forest of them.
+A first round looks inside blocks; in the second, blocks and keys that are one component by then
+are left out, so a large group of near copies does not cost the square of its size.
 
 Defined results: null text, or text without words, is an empty set, linked with nothing; with
 fewer words than a shingle has, the whole sequence is the one shingle; a null id sorts above every
@@ -142,9 +144,8 @@ def set_rows(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, th long, n long, k1 long, k2 long, sig binary")
 
 
-def _units(classes: DataFrame, errors: int) -> DataFrame:
-    """(key, index, i, j, cls, side): the classes of each key shared by two or more, by blocks.
-    Units are (key, i, j); side says which of the two blocks a class is in."""
+def _members(classes: DataFrame, errors: int) -> DataFrame:
+    """(key, index, cls): the classes of each key that two or more share."""
     spark = classes.sparkSession
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,64 +155,81 @@ def _units(classes: DataFrame, errors: int) -> DataFrame:
             n = found.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(found.ravel().view(np.int64)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(sig))), pa.array(np.repeat(b.column(0).to_numpy(), n))], names=["key", "index", "cls"])
 
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Input is sorted by key; a row stays if a neighbour has its key."""
+        last: pa.RecordBatch | None = None  # the last row so far, and whether its key came before
+        again = False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b.column(0).to_numpy()
+            same = np.r_[last is not None and last.column(0)[0].as_py() == key[0], key[1:] == key[:-1]]
+            if last is not None and (again or same[0]):
+                yield last
+            stays = same.copy()
+            stays[:-1] |= same[1:]
+            if len(key) > 1:
+                yield b.slice(0, len(key) - 1).filter(pa.array(stays[:-1]))
+            last, again = b.slice(len(key) - 1), bool(same[-1])
+        if last is not None and again:
+            yield last
+
+    keyed = classes.select("cls", "sig").mapInArrow(keys, "key long, index int, cls long")
+    keyed = keyed.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key")
+    return keyed.mapInArrow(shared, "key long, index int, cls long")
+
+
+def _units(members: DataFrame, apart: bool) -> DataFrame:
+    """(key, index, i, j, cls, comp, side) of ``members`` (key, index, cls, comp): the classes of
+    each key by blocks; units are (key, i, j), side says which of the two blocks a class is in.
+
+    ``apart=False``: each block with itself, for a first grouping. ``apart=True``: all blocks with
+    each other - but keys and pairs of blocks that hold one component only have nothing to tell.
+    """
+    spark = members.sparkSession
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small: list[tuple[np.ndarray, ...]] = []
+        small_ones: list[tuple[np.ndarray, ...]] = []
         n = 0
 
         def flush() -> pa.RecordBatch:
-            cols = [np.concatenate(c) for c in zip(*small)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "index", "i", "j", "cls", "side"])
-
-        for key, index, cls in _numbers(batches):
-            blocks = -(-len(cls) // BLOCK)
-            whole = [np.sort(cls)[a * BLOCK : (a + 1) * BLOCK] for a in range(blocks)]
-            for i in range(blocks):
-                for j in range(i, blocks):
-                    own = whole[i] if i == j else np.concatenate([whole[i], whole[j]])
-                    side = np.zeros(len(own), np.int32)
-                    side[len(whole[i]) :] = 1
-                    one = np.ones(len(own), np.int32)
-                    small.append((np.full(len(own), key, np.int64), one * np.int32(index), one * np.int32(i), one * np.int32(j), own, side))
-                    n += len(own)
+            cols = [np.concatenate(c) for c in zip(*small_ones)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "index", "i", "j", "cls", "comp", "side"])
+
+        for run in _runs(batches, 1):
+            t = pa.Table.from_batches(run)
+            cls, comp = t.column(2).to_numpy(), t.column(3).to_numpy()
+            if apart and (comp == comp[0]).all():
+                continue
+            key, index = t.column(0)[0].as_py(), t.column(1)[0].as_py()
+            order = np.lexsort((cls, comp))
+            cls, comp = cls[order], comp[order]
+            cuts = range(0, len(cls), BLOCK)
+            one = [comp[c] if comp[c] == comp[min(c + BLOCK, len(comp)) - 1] else None for c in cuts]
+            for i, c in enumerate(cuts):
+                for j, d in enumerate(cuts):
+                    if j < i or (j > i and not apart) or (apart and one[i] is not None and one[i] == one[j]):
+                        continue
+                    at = np.r_[c : min(c + BLOCK, len(cls))] if i == j else np.r_[c : min(c + BLOCK, len(cls)), d : min(d + BLOCK, len(cls))]
+                    side = np.zeros(len(at), np.int32)
+                    if i != j:
+                        side[min(BLOCK, len(cls) - c) :] = 1
+                    same = np.ones(len(at), np.int32)
+                    small_ones.append((np.full(len(at), key, np.int64), same * np.int32(index), same * np.int32(i), same * np.int32(j), cls[at], comp[at], side))
+                    n += len(at)
                     if n > 50_000:
                         yield flush()
-                        small.clear()
+                        small_ones.clear()
                         n = 0
-        if small:
+        if small_ones:
             yield flush()
 
-    def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
-        """Keys held by two classes or more, of input sorted by key."""
-        held: list[np.ndarray] = []
-        now = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, index, cls = (b.column(i).to_numpy() for i in range(3))
-            cuts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
-            sizes = np.diff(cuts)
-            inner = np.flatnonzero(sizes > 1).tolist()
-            for g in sorted({0, len(sizes) - 1, *inner}):
-                lo, hi = cuts[g], cuts[g + 1]
-                if now is not None and now[0] != key[lo]:
-                    if sum(map(len, held)) > 1:
-                        yield *now, np.concatenate(held)
-                    held, now = [], None
-                if 0 < g < len(sizes) - 1:
-                    yield int(key[lo]), int(index[lo]), cls[lo:hi]
-                else:  # a group at an end of the batch may go on in the next
-                    now = int(key[lo]), int(index[lo])
-                    held.append(cls[lo:hi])
-        if now is not None and sum(map(len, held)) > 1:
-            yield *now, np.concatenate(held)
-
-    keyed = classes.select("cls", "sig").mapInArrow(keys, "key long, index int, cls long")
-    keyed = keyed.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key")
-    return keyed.mapInArrow(deal, "key long, index int, i int, j int, cls long, side int")
+    keyed = members.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key")
+    return keyed.mapInArrow(deal, "key long, index int, i int, j int, cls long, comp long, side int")
 
 
-def _near_pairs(sig: np.ndarray, side: np.ndarray, index: int, bound: int, errors: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a unit within the bound whose first shared key is this one."""
+def _near_pairs(sig: np.ndarray, comp: np.ndarray, side: np.ndarray, index: int, bound: int, errors: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a unit, of different components, within the bound, whose first shared key is this one."""
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if not len(right):
         right = left
@@ -223,7 +241,7 @@ def _near_pairs(sig: np.ndarray, side: np.ndarray, index: int, bound: int, error
             far += sig[a, s][:, None] != sig[right, s][None, :]
         x, y = np.nonzero(far <= bound)
         x, y = a[x], right[y]
-        ok = x < y
+        ok = (x < y) & (comp[x] != comp[y])
         x, y = x[ok], y[ok]
         if len(x):
             first = np.concatenate([first_key(sig[x[c : c + 65536]] == sig[y[c : c + 65536]], errors) for c in range(0, len(x), 65536)]) == index
@@ -233,10 +251,11 @@ def _near_pairs(sig: np.ndarray, side: np.ndarray, index: int, bound: int, error
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (empty, empty)
 
 
-def _links(cls: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs across the sides (or within one) with similarity >= num / den."""
+def _links(cls: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs across the sides (or within one) with similarity >= num / den,
+    on top of the components there are."""
     n = len(cls)
-    root = list(range(n))
+    root = np.unique(comp, return_index=True)[1][np.unique(comp, return_inverse=True)[1]].tolist()
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -294,38 +313,52 @@ def _links(cls: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int,
 
 def near_links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(a, b): links that span every group of classes with similarity >= num / den.
-    ``docs``: id, text, th; ``classes``: cls, sig, and id and th of one row with that set."""
-    spark = docs.sparkSession
+    ``docs``: id, text, th; ``classes``: cls, sig, and id and th of one row with that set.
+
+    Two rounds: blocks by themselves first, so a large group of near copies becomes a few
+    components; then blocks with each other, where only pairs of different components are asked.
+    """
     bound = distance_bound(num / den)
     errors = bound // CHUNKS
     if errors >= WIDE:
         raise ValueError("a similarity this low needs a longer signature")
-    units = _units(classes, errors).join(classes.select("cls", "sig").hint("merge"), "cls")
-    units = units.select("key", "i", "j", "index", "side", "cls", "sig").repartition(shuffle_parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "cls")
+    members = written(_members(classes, errors), "members")
+    first = written(_compared(docs, classes, members.withColumn("comp", F.col("cls")), False, k, num, den, bound), "links")
+    groups = components(first).withColumnRenamed("node", "cls")
+    met = members.join(groups, "cls", "left").select("key", "index", "cls", F.coalesce("component", "cls").alias("comp"))
+    return first.unionByName(_compared(docs, classes, met, True, k, num, den, bound))
+
+
+def _compared(docs: DataFrame, classes: DataFrame, members: DataFrame, apart: bool, k: int, num: int, den: int, bound: int) -> DataFrame:
+    """Links that the units of one round confirm on full sets."""
+    spark = docs.sparkSession
+    errors = bound // CHUNKS
+    units = _units(members, apart).join(classes.select("cls", "sig").hint("merge"), "cls")
+    units = units.select("key", "i", "j", "index", "side", "cls", "comp", "sig").repartition(shuffle_parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "cls")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, np.ndarray, np.ndarray]] = []
+        held: list[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
             sizes = [len(h[3]) for h in held]
             cols = [pa.array(np.repeat([h[c] for h in held], sizes).astype(kind)) for c, kind in ((0, np.int64), (1, np.int32), (2, np.int32))]
-            return pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate([h[3] for h in held])), pa.array(np.concatenate([h[4] for h in held]))], names=["key", "i", "j", "cls", "side"])
+            return pa.RecordBatch.from_arrays([*cols, *(pa.array(np.concatenate([h[c] for h in held])) for c in (3, 4, 5))], names=["key", "i", "j", "cls", "comp", "side"])
 
         for run in _runs(batches, 3):
             t = pa.Table.from_batches(run)
-            sig = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-            side, cls = t.column(4).to_numpy(), t.column(5).to_numpy()
-            a, b = _near_pairs(sig, side, t.column(3)[0].as_py(), bound, errors)
+            sig = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            side, cls, comp = (t.column(c).to_numpy() for c in (4, 5, 6))
+            a, b = _near_pairs(sig, comp, side, t.column(3)[0].as_py(), bound, errors)
             if len(a):
                 own = np.union1d(a, b)
-                held.append((t.column(0)[0].as_py(), t.column(1)[0].as_py(), t.column(2)[0].as_py(), cls[own], side[own]))
+                held.append((t.column(0)[0].as_py(), t.column(1)[0].as_py(), t.column(2)[0].as_py(), cls[own], comp[own], side[own]))
                 if len(held) > 2000:
                     yield flush()
                     held.clear()
         if held:
             yield flush()
 
-    found = written(units.mapInArrow(near, "key long, i int, j int, cls long, side int"), "units")
+    found = written(units.mapInArrow(near, "key long, i int, j int, cls long, comp long, side int"), "units")
     # The texts of the classes concerned, and of no others, move once.
     wanted = written(classes.join(found.select("cls").distinct(), "cls", "left_semi").select("cls", "id", "th", _digest("id", "th")), "wanted")
     texts = docs.withColumn("digest", _digest("id", "th"))
@@ -338,12 +371,12 @@ def near_links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found_sets, pa.binary())], names=["cls", "set"])
 
     full = found.join(texts.dropDuplicates(["cls"]).mapInArrow(sets, "cls long, set binary").hint("merge"), "cls")
-    full = full.select("key", "i", "j", "side", "cls", "set").repartition(shuffle_parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "cls")
+    full = full.select("key", "i", "j", "side", "cls", "comp", "set").repartition(shuffle_parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "cls")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, 3):
             t = pa.Table.from_batches(run)
-            links = _links(t.column(4).to_numpy(), [np.frombuffer(s, np.uint64) for s in t.column(5).to_pylist()], t.column(3).to_numpy(), num, den)
+            links = _links(t.column(4).to_numpy(), t.column(5).to_numpy(), [np.frombuffer(s, np.uint64) for s in t.column(6).to_pylist()], t.column(3).to_numpy(), num, den)
             if links:
                 a, b = zip(*links)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
