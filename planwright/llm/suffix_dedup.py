@@ -26,22 +26,45 @@ from planwright.llm.anchors import anchors
 from planwright.llm.common import documents, shuffle_parts, written
 from planwright.llm.exact_dedup import screened
 from planwright.llm.suffix_sort import repeated_starts
-from planwright.llm.tokens import raw, small
+from planwright.llm.tokens import mix, raw, small
 
 #: Bytes of an anchor; bytes of a shard, about; memory of a sort before it goes to disk.
 GRAM, SHARD_BYTES, MEMORY = 64, 3 << 20, 256 << 20
 
 
 def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
-    """``texts`` (k, text) -> one row for each anchor: g, seg, k, a (first window), n (windows)."""
+    """``texts`` (k, text) -> g, seg, k, a (first window), n (windows), c: a row for each anchor.
+
+    Segments that meet in one batch already repeat: each of their rows says so (c = 0: a finding,
+    under a key that only spreads it), and a single row goes on for them all (c = 2), so a text
+    that a third of the rows copy sends one row for each batch. A segment that is alone has c = 1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            text, g, seg, a, b = anchors(raw(batch.column(1)), length, GRAM)
-            if len(text):
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(seg.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(a.astype(np.int64)), pa.array((b - a + 1).astype(np.int32))], names=["g", "seg", "k", "a", "n"])
+        for batch in batches:
+            found: list[list[np.ndarray]] = [[], [], [], [], []]
+            at = 0
+            for part in small([batch]):
+                text, g, seg, a, b = anchors(raw(part.column(1)), length, GRAM)
+                for c, v in zip(found, (g, seg, text + at, a, b - a + 1)):
+                    c.append(v)
+                at += part.num_rows
+            g, seg, text, a, n = (np.concatenate(c) for c in found)
+            if not len(g):
+                continue
+            k = batch.column(0).to_numpy()[text]
+            order = np.lexsort((seg, g))
+            g, seg, k, a, n = g[order], seg[order], k[order], a[order], n[order]
+            new = np.r_[True, (g[1:] != g[:-1]) | (seg[1:] != seg[:-1])]
+            many = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+            local = np.flatnonzero(many)
+            own = np.flatnonzero(new)
+            spread = mix(k[local].view(np.uint64) + a[local].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            pick = np.r_[own, local]
+            kind = np.r_[np.where(many[own], 2, 1), np.zeros(len(local), np.int64)].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[g[own], spread].view(np.int64)), pa.array(seg[pick].view(np.int64)), pa.array(k[pick]), pa.array(a[pick].astype(np.int64)), pa.array(n[pick].astype(np.int32)), pa.array(kind)], names=["g", "seg", "k", "a", "n", "c"])
 
-    return texts.mapInArrow(run, "g long, seg long, k long, a long, n int")
+    return texts.mapInArrow(run, "g long, seg long, k long, a long, n int, c int")
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -70,17 +93,18 @@ def judged(rows: DataFrame) -> DataFrame:
 
     def judge(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(batches)
-        g, seg, k, a, n = (t.column(i).to_numpy() for i in range(5))
-        new_g = np.r_[True, g[1:] != g[:-1]]
-        new_s = new_g | np.r_[True, seg[1:] != seg[:-1]]
+        g, seg, k, a, n, c = (t.column(i).to_numpy() for i in range(6))
+        local = np.flatnonzero(c == 0)
+        own = np.flatnonzero(c > 0)
+        og, oseg, oc = g[own], seg[own], c[own]
+        new_g = np.r_[True, og[1:] != og[:-1]][: len(own)]
+        new_s = new_g | np.r_[True, oseg[1:] != oseg[:-1]][: len(own)]
         of_s, of_g = np.cumsum(new_s) - 1, np.cumsum(new_g) - 1
-        many = np.bincount(of_s)[of_s] > 1
+        many = np.bincount(of_s, oc)[of_s] > 1
         mixed = np.bincount(of_g, new_s)[of_g] > 1
-        same = many
-        lone = mixed & ~many
-        met = mixed & many & new_s
-        pick = np.r_[np.flatnonzero(same), np.flatnonzero(lone), np.flatnonzero(met)]
-        kind = np.repeat(np.array([0, 1, 2], np.int32), [same.sum(), lone.sum(), met.sum()])
+        picks = local, own[many & (oc == 1)], own[mixed & ~many], own[mixed & many & new_s]
+        kind = np.repeat(np.array([0, 0, 1, 2], np.int32), [len(p) for p in picks])
+        pick = np.concatenate(picks)
         return pa.RecordBatch.from_arrays([pa.array(g[pick]), pa.array(k[pick]), pa.array(a[pick]), pa.array(n[pick]), pa.array(kind)], names=["g", "k", "a", "n", "kind"])
 
     return keyed.mapInArrow(run, "g long, k long, a long, n int, kind int")
