@@ -99,7 +99,7 @@ def index_keys(sig: np.ndarray, errors: int) -> np.ndarray:
 def first_key(equal: np.ndarray, errors: int) -> np.ndarray:
     """Of pairs, given which symbols are equal, the number of the first key they share (or -1)."""
     e = equal.reshape(len(equal), CHUNKS, WIDE)
-    hits = np.stack([e[:, :, list(kept)].all(axis=2) for kept in combinations(range(WIDE), WIDE - errors)], axis=2).reshape(len(equal), -1)
+    hits = np.stack([e[:, :, list(kept)].all(axis=2) for kept in combinations(range(WIDE), WIDE - errors)], axis=2).reshape(len(equal), CHUNKS * comb(WIDE, errors))
     return np.where(hits.any(axis=1), hits.argmax(axis=1), -1)
 
 
@@ -228,6 +228,30 @@ def _units(members: DataFrame, apart: bool) -> DataFrame:
     return keyed.mapInArrow(deal, "key long, index int, i int, j int, cls long, comp long, side int")
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of rows (key, i, j, index, side, cls, comp, sig), sorted by unit: the columns as arrays and
+    where units begin and end; a unit that a batch cuts comes with the next one."""
+
+    def arrays(b: pa.RecordBatch) -> list[np.ndarray]:
+        sig = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        return [*(b.column(c).to_numpy() for c in range(7)), sig]
+
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = arrays(b)
+        if held is not None:
+            cols = [np.concatenate(c) for c in zip(held, cols)]
+        key, i, j = cols[:3]
+        cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1]
+        if len(cuts) > 1:
+            yield *[c[: cuts[-1]] for c in cols], cuts
+        held = [c[cuts[-1] :] for c in cols]
+    if held is not None:
+        yield *held, np.array([0, len(held[0])])
+
+
 def _near_pairs(sig: np.ndarray, comp: np.ndarray, side: np.ndarray, index: int, bound: int, errors: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a unit, of different components, within the bound, whose first shared key is this one."""
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -236,9 +260,12 @@ def _near_pairs(sig: np.ndarray, comp: np.ndarray, side: np.ndarray, index: int,
     out_a, out_b = [], []
     for a0 in range(0, len(left), 64):
         a = left[a0 : a0 + 64]
-        far = np.zeros((len(a), len(right)), np.uint8)
-        for s in range(SYMBOLS):
-            far += sig[a, s][:, None] != sig[right, s][None, :]
+        if len(a) * len(right) <= 1024:
+            far = (sig[a][:, None, :] != sig[right][None, :, :]).sum(axis=2)
+        else:
+            far = np.zeros((len(a), len(right)), np.uint8)
+            for s in range(SYMBOLS):
+                far += sig[a, s][:, None] != sig[right, s][None, :]
         x, y = np.nonzero(far <= bound)
         x, y = a[x], right[y]
         ok = (x < y) & (comp[x] != comp[y])
@@ -337,26 +364,26 @@ def _compared(docs: DataFrame, classes: DataFrame, members: DataFrame, apart: bo
     units = units.select("key", "i", "j", "index", "side", "cls", "comp", "sig").repartition(shuffle_parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "cls")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def flush() -> pa.RecordBatch:
-            sizes = [len(h[3]) for h in held]
-            cols = [pa.array(np.repeat([h[c] for h in held], sizes).astype(kind)) for c, kind in ((0, np.int64), (1, np.int32), (2, np.int32))]
-            return pa.RecordBatch.from_arrays([*cols, *(pa.array(np.concatenate([h[c] for h in held])) for c in (3, 4, 5))], names=["key", "i", "j", "cls", "comp", "side"])
-
-        for run in _runs(batches, 3):
-            t = pa.Table.from_batches(run)
-            sig = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-            side, cls, comp = (t.column(c).to_numpy() for c in (4, 5, 6))
-            a, b = _near_pairs(sig, comp, side, t.column(3)[0].as_py(), bound, errors)
-            if len(a):
-                own = np.union1d(a, b)
-                held.append((t.column(0)[0].as_py(), t.column(1)[0].as_py(), t.column(2)[0].as_py(), cls[own], comp[own], side[own]))
-                if len(held) > 2000:
-                    yield flush()
-                    held.clear()
-        if held:
-            yield flush()
+        names = ["key", "i", "j", "cls", "comp", "side"]
+        for key, i, j, index, side, cls, comp, sig, cuts in _whole_groups(batches):
+            picked = []
+            sizes = np.diff(cuts)
+            two = cuts[:-1][sizes == 2]  # most units are one pair: all of a batch at once
+            two = two[comp[two] != comp[two + 1]]
+            for at in range(0, len(two), 16_384):
+                x = two[at : at + 16_384]
+                equal = sig[x] == sig[x + 1]
+                x, equal = x[(~equal).sum(axis=1) <= bound], equal[(~equal).sum(axis=1) <= bound]
+                x = x[first_key(equal, errors) == index[x]]
+                picked += [x, x + 1]
+            for g in np.flatnonzero(sizes > 2):
+                lo, hi = cuts[g], cuts[g + 1]
+                a, b = _near_pairs(sig[lo:hi], comp[lo:hi], side[lo:hi], index[lo], bound, errors)
+                if len(a):
+                    picked.append(lo + np.union1d(a, b))
+            if picked:
+                pick = np.sort(np.concatenate(picked))
+                yield pa.RecordBatch.from_arrays([pa.array(c[pick]) for c in (key, i, j, cls, comp, side)], names=names)
 
     found = written(units.mapInArrow(near, "key long, i int, j int, cls long, comp long, side int"), "units")
     # The texts of the classes concerned, and of no others, move once.

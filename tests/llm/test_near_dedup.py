@@ -99,3 +99,15 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_second_round_leaves_settled_groups_alone(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 10)
+    rows = [(1, 0, c, 7) for c in range(100)] + [(2, 0, c, 7 if c < 95 else c) for c in range(100)]
+    members = spark.createDataFrame(rows, "key long, index int, cls long, comp long")
+    first = nd._units(members, False)
+    assert first.count() == 200 and first.filter("i <> j").count() == 0
+    second = nd._units(members, True)
+    assert second.filter("key = 1").count() == 0
+    # Only the block with other components meets itself and the nine settled ones.
+    assert {(r.i, r.j) for r in second.select("i", "j").distinct().collect()} == {(i, 9) for i in range(10)}
