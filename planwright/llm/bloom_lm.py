@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwright.llm.common import documents, shuffle_parts, written
-from planwright.llm.tokens import WordHashes, mix, raw
+from planwright.llm.tokens import WordHashes, mix, raw, small
 
 START, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 _PAIR, _WORD, _LEVEL = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F), np.uint64(0x9E3779B97F4A7C15)
@@ -77,18 +77,16 @@ class LogBloom:
         alive, j = np.arange(len(codes)), 1
         base = (codes >> np.uint64(54)).astype(np.int64) * self.segment_bits
         while len(alive):
-            alive = alive[self._all(codes[alive], base[alive], j)]
+            for i in range(HASHES):  # most absent items fail at the first probe already
+                if i == 0:
+                    h = mix(codes[alive] + np.uint64(j * int(_LEVEL) % (1 << 64)))
+                at = ((h + np.uint64(i) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64(self.segment_bits - 1)).astype(np.int64) + base[alive]
+                ok = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                alive, h = alive[ok], h[ok]
             out[alive] = j
             j += 1
         return out
 
-    def _all(self, codes: np.ndarray, base: np.ndarray, j: int) -> np.ndarray:
-        ok = np.ones(len(codes), bool)
-        for at in probes(codes, j, self.segment_bits):
-            at += base
-            ok &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return ok
-
 
 def probes(codes: np.ndarray, j: int | np.ndarray, segment_bits: int) -> Iterator[np.ndarray]:
     h = mix(codes + np.asarray(j, np.uint64) * _LEVEL)
@@ -130,7 +128,7 @@ class _Segment:
 def _tokens(batches: Iterator[pa.RecordBatch], text_at: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Word hashes with END after each text, and where texts begin; about GATHER tokens at a time."""
     words, held, n = WordHashes(), [], 0
-    for batch in batches:
+    for batch in small(batches):
         for text in raw(batch.column(text_at)):
             held.append(np.append(words.of(text), END))
             n += len(held[-1])
@@ -185,12 +183,27 @@ def log_bloom(train: DataFrame, text_col: str, counts: DataFrame, tokens: int, m
     rows = train.select(text_col).mapInArrow(pairs, "code long, n long").unionByName(counts.select(F.col("w").alias("code"), F.col("c").alias("n")).mapInArrow(coded, "code long, n long"))
     rows = rows.withColumn("segment", F.shiftrightunsigned("code", 54)).repartition(shuffle_parts(spark), "segment")
     rows = rows.groupBy("segment", "code").agg(F.sum("n").alias("n")).select("code", "n")
+    built = written(rows.mapInArrow(build, "segment int, bits binary"), "bloom")
     out = np.zeros(bits // 8, np.uint8)
-    for r in rows.mapInArrow(build, "segment int, bits binary").toLocalIterator():  # at most max_bits / 8 bytes together
-        out[r["segment"] * (size // 8) : (r["segment"] + 1) * (size // 8)] = np.frombuffer(r["bits"], np.uint8)
+    for at in range(0, SEGMENTS, SEGMENTS // 8):  # at most max_bits / 8 bytes together, an eighth at a time
+        part = built.filter(F.col("segment").between(at, at + SEGMENTS // 8 - 1)).toArrow()
+        for segment, own in zip(part.column(0).to_pylist(), part.column(1)):
+            out[segment * (size // 8) : (segment + 1) * (size // 8)] = np.frombuffer(own.as_buffer(), np.uint8)
     return LogBloom(out)
 
 
+def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words above the smallest count class that leaves at most ``most`` of them: no global
+    order is made, the driver sees the sizes of some hundred classes."""
+    grade = F.floor(F.log2("c") * 4)
+    left, least = most, None
+    for r in sorted(counts.groupBy(grade.alias("grade")).count().collect(), key=lambda r: -r["grade"]):
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["grade"]
+    return counts.filter(grade >= least) if least is not None else counts.limit(0)
+
+
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", mu: float = 3000.0, hot: int = 1 << 18, max_bits: int = 1 << 29) -> DataFrame:
     """For each row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
@@ -201,10 +214,11 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     tokens, kinds = total["n"], total["v"]
     ends = counts.filter(F.col("w") == int(END.view(np.int64))).first()
     texts = ends["c"] if ends else 0
-    common = counts.orderBy(F.desc("c"), "w").limit(hot).toPandas().sort_values("w") if kinds else pd.DataFrame({"w": [], "c": []})
+    common = _most_frequent(counts, hot).toPandas().sort_values("w")
     hot_words, hot_counts = common.w.to_numpy(np.int64), common.c.to_numpy(np.float64)
     filled = log_bloom(learning, "text", counts, tokens, max_bits)
     sent = spark.sparkContext.broadcast((filled.bits, hot_words, hot_counts))
+    del filled
     below = tokens + 0.1 * (kinds + 1)
 
     def exact(words: np.ndarray, hot_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +228,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, hot_words, hot_counts = sent.value
         bloom, words_of = LogBloom(bits), WordHashes()
-        for batch in batches:
+        for batch in small(batches, 4096):
             texts_of = raw(batch.column(1))
             begin = 0
             while begin < len(texts_of):
@@ -248,15 +262,15 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         # What is not hot goes on as (row, word, times).
         cold = np.flatnonzero(~is_hot[at])
         doc = np.repeat(np.arange(len(held)), sizes)
-        both = pd.DataFrame({"d": doc[cold], "w": at[cold]}).groupby(["d", "w"], sort=False).size()
-        d, w = (both.index.get_level_values(i).to_numpy(np.int64) for i in (0, 1))
+        both, times = np.unique(doc[cold] << 32 | at[cold], return_counts=True)
+        d, w = both >> 32, both & 0xFFFFFFFF
         k, m = len(held), len(d)
         none = lambda kind: pa.nulls(m, kind)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate([row, row[d]])),
                 pa.array(np.concatenate([mix(row.astype(np.uint64)), uniq[w]]).view(np.int64)),
-                pa.array(np.concatenate([np.zeros(k, np.int64), both.to_numpy(np.int64)])),
+                pa.array(np.concatenate([np.zeros(k, np.int64), times.astype(np.int64)])),
                 pa.concat_arrays([batch.column(0), none(batch.column(0).type)]),
                 pa.concat_arrays([batch.column(2), none(pa.bool_())]),
                 pa.concat_arrays([pa.array(sizes.astype(np.int64)), none(pa.int64())]),
