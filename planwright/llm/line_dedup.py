@@ -1,10 +1,10 @@
 """Line deduplication over levelled sorted runs of line hashes, in DataFrame operations only.
 
-Each batch of documents brings its own sorted run: one row for each line key with the number
-of documents that hold it and the largest id among them. The new run is merge-anti-joined with
-the runs there are: keys they do not know are added as they are; keys they know are added as an
-increment. Runs of one level are compacted into one run of the next level whenever ``fanout`` of
-them have gathered, so a key lies in few runs and every merge reads sorted data.
+Each batch of documents has one row for each line key: the number of its documents that hold it
+and the largest id among them. The batch is merge-joined with the keys of the runs there are: keys
+that no run has (the anti join) are added as the batch's own sorted run, what it says of known keys
+is kept as an increment. Runs of one level are compacted into one run of the next level whenever
+``fanout`` of them have gathered, so a batch meets few runs, and every key lies in one of them.
 
 Defined results: null or empty text is one empty line; a null id sorts below every number;
 repeated rows (same id) count as one document and share a decision; other columns are ignored.
@@ -26,18 +26,24 @@ def line_key(line: Column) -> Column:
 
 @dataclass
 class LineRuns:
-    """Levels of runs (h1, h2, n_docs, top): level i holds runs of about fanout**i batches."""
+    """Levels of sorted runs (h1, h2, n_docs, top), no key in two of them: level i holds runs of
+    about fanout**i batches. What later batches say of known keys waits in ``increments``."""
 
     fanout: int = 4
     levels: list[list[DataFrame]] = field(default_factory=list)
+    increments: list[DataFrame] = field(default_factory=list)
 
     def add(self, run: DataFrame) -> None:
-        """``run``: one row for each key of a batch; the documents of batches are disjoint."""
-        known = self.rows()
-        if known is not None:
-            keys = known.select("h1", "h2").distinct()
-            run = run.join(keys, ["h1", "h2"], "left_anti").unionByName(run.join(keys, ["h1", "h2"], "left_semi"))
-        self._put(written(run.sortWithinPartitions("h1", "h2"), "run"), 0)
+        """``run``: one row for each key of a batch; the documents of batches are disjoint. One
+        merge join with the runs' keys parts it: new keys are its own run, the others increments."""
+        held = self._union(self._runs())
+        if held is None:
+            self._put(written(run.sortWithinPartitions("h1", "h2"), "run"), 0)
+            return
+        told = run.join(held.select("h1", "h2", F.lit(True).alias("old")).hint("merge"), ["h1", "h2"], "left")
+        told = written(told.sortWithinPartitions("h1", "h2"), "run")
+        self._put(told.filter("old is null").drop("old"), 0)
+        self.increments.append(told.filter("old").drop("old"))
 
     def _put(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
@@ -45,23 +51,28 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._put(written(_merged(full).sortWithinPartitions("h1", "h2"), "run"), level + 1)
+            # The runs share no key: compaction only brings them into one order.
+            self._put(written(self._union(full).repartition("h1", "h2").sortWithinPartitions("h1", "h2"), "run"), level + 1)
+        if len(self.increments) >= self.fanout:
+            self.increments = [written(_merged(self._union(self.increments)), "increments")]
 
-    def rows(self) -> DataFrame | None:
+    def _runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
+
+    @staticmethod
+    def _union(runs: list[DataFrame]) -> DataFrame | None:
         out = None
-        for run in (r for level in self.levels for r in level):
+        for run in runs:
             out = run if out is None else out.unionByName(run)
         return out
 
     def compacted(self) -> DataFrame:
-        return _merged([r for level in self.levels for r in level])
+        """All keys with what all batches say of them."""
+        return _merged(self._union([*self._runs(), *self.increments]))
 
 
-def _merged(runs: list[DataFrame]) -> DataFrame:
-    out = runs[0]
-    for r in runs[1:]:
-        out = out.unionByName(r)
-    return out.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("top").alias("top"))
+def _merged(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("top").alias("top"))
 
 
 def _lines(text: Column) -> Column:
