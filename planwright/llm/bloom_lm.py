@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwright.llm.common import documents, shuffle_parts, written
-from planwright.llm.tokens import WordHashes, mix, raw, small
+from planwright.llm.tokens import mix, raw, small, word_hashes
 
 START, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 _PAIR, _WORD, _LEVEL = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F), np.uint64(0x9E3779B97F4A7C15)
@@ -127,10 +127,10 @@ class _Segment:
 
 def _tokens(batches: Iterator[pa.RecordBatch], text_at: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Word hashes with END after each text, and where texts begin; about GATHER tokens at a time."""
-    words, held, n = WordHashes(), [], 0
+    held, n = [], 0
     for batch in small(batches):
         for text in raw(batch.column(text_at)):
-            held.append(np.append(words.of(text), END))
+            held.append(np.append(word_hashes(text), END))
             n += len(held[-1])
             if n >= GATHER:
                 yield np.concatenate(held), np.cumsum([0, *map(len, held)])[:-1]
@@ -227,14 +227,14 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, hot_words, hot_counts = sent.value
-        bloom, words_of = LogBloom(bits), WordHashes()
+        bloom = LogBloom(bits)
         for batch in small(batches, 4096):
             texts_of = raw(batch.column(1))
             begin = 0
             while begin < len(texts_of):
                 end, held, n = begin, [], 0
                 while end < len(texts_of) and (n < GATHER // 4 or end == begin):
-                    held.append(np.append(words_of.of(texts_of[end]), END))
+                    held.append(np.append(word_hashes(texts_of[end]), END))
                     n += len(held[-1])
                     end += 1
                 yield part(batch.slice(begin, end - begin), held, bloom, hot_words, hot_counts)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from planwright.llm.common import documents, shuffle_parts, written
 from planwright.llm.components import components
 from planwright.llm.exact_dedup import screened
-from planwright.llm.tokens import WordHashes, mix, raw, small
+from planwright.llm.tokens import mix, raw, small, word_hashes
 
 SYMBOLS, CHUNKS, MISS, BLOCK = 64, 16, 1e-6, 512
 WIDE = SYMBOLS // CHUNKS
@@ -130,9 +130,8 @@ def set_rows(docs: DataFrame, k: int) -> DataFrame:
     """``docs`` (id, text, th) -> id, th, n (size of the set), k1, k2 (its 128-bit hash), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in small(batches):
-            sets = [np.unique(shingles(words.of(t), k)) for t in raw(batch.column(1))]
+            sets = [np.unique(shingles(word_hashes(t), k)) for t in raw(batch.column(1))]
             some = [i for i, s in enumerate(sets) if len(s)]
             sig: list[bytes | None] = [None] * len(sets)
             for i, s in zip(some, signature([sets[i] for i in some])):
@@ -392,9 +391,8 @@ def _compared(docs: DataFrame, classes: DataFrame, members: DataFrame, apart: bo
     texts = screened(texts, wanted.select("digest").distinct()).join(wanted.select("digest", "cls").hint("merge"), "digest").select("cls", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for b in small(batches):
-            found_sets = [np.unique(shingles(words.of(t), k)).tobytes() for t in raw(b.column(1))]
+            found_sets = [np.unique(shingles(word_hashes(t), k)).tobytes() for t in raw(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found_sets, pa.binary())], names=["cls", "set"])
 
     full = found.join(texts.dropDuplicates(["cls"]).mapInArrow(sets, "cls long, set binary").hint("merge"), "cls")

@@ -18,25 +18,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-class WordHashes(dict):
-    """word (UTF-8 bytes) -> hash; remembers a bounded number of words."""
-
-    def __init__(self, most: int = 200_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= self.most:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-    def of(self, text: bytes) -> np.ndarray:
-        """Hashes of the words of a text: A-Z lower-cased, split at ASCII white space."""
-        words = text.lower().split()  # on bytes, both know ASCII only
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words of a text: A-Z lower-cased, split at ASCII white space. (A table of the
+    words seen so far would cost more than hashing them again.)"""
+    words = text.lower().split()  # on bytes, both know ASCII only
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64)
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

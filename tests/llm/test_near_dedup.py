@@ -5,7 +5,7 @@ import pytest
 
 from planwright.llm import near_dedup as nd
 from planwright.llm.components import components
-from planwright.llm.tokens import WordHashes
+from planwright.llm.tokens import word_hashes as words
 
 
 def shingle_set(t, k):
@@ -89,9 +89,8 @@ def test_every_pair_within_the_bound_shares_a_key():
 
 
 def test_words_follow_ascii_rules():
-    w = WordHashes()
-    assert (w.of("A b\x0bC d É".encode()) == w.of("a\tB c d É".encode())).all()
-    assert len(w.of("A b\x0bC d É".encode())) == 4 and w.of("É".encode())[0] != w.of("é".encode())[0]
+    assert (words("A b\x0bC d É".encode()) == words("a\tB c d É".encode())).all()
+    assert len(words("A b\x0bC d É".encode())) == 4 and words("É".encode())[0] != words("é".encode())[0]
 
 
 def test_components(spark):
