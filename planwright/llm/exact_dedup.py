@@ -211,7 +211,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Byte checks: copies collapse map-side, so a hot text travels once for each task; only then
     # do the texts meet the digests that are shared.
     classes = screened(own.withColumn("digest", digest(F.col("text"))), shared)
-    classes = classes.groupBy("digest", "text").agg(F.max("id").alias("keep"), F.count("*").alias("n")).join(shared.hint("merge"), "digest", "left_semi")
+    classes = classes.groupBy("digest", "text").agg(F.max("id").alias("keep"), F.count("*").alias("n"))
+    classes = classes.join(shared.hint("merge"), "digest")  # distinct; a semi join would be moved below the grouping
     exact = written(classes.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("n").alias("n"), F.count("*").alias("texts")), "classes")
 
     def answer(df: DataFrame) -> DataFrame:
