@@ -1,16 +1,15 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of words and word pairs are quantised on a logarithmic scale, and an n-gram of level q is
-put in the filter as (n-gram, 1) .. (n-gram, q); its level is read back by probing 1, 2, ... until
-one is missing. The filter has a proven size (at most ``max_bits``), is built in segments by the
-tasks that hold the counts, and is broadcast to the workers. A text is scored by hierarchical
-Dirichlet smoothing: P(w | v) = (c(vw) + mu P(w)) / (c(v) + mu), with
-P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).
-
-Where a segment would hold more items than its bits can tell apart, the rarest n-grams stay out
-of it (all of one count class at a time): the model gets coarser, its size does not grow. The
-additive base score is exact: counts of the ``hot`` most frequent words go to every task, all other
-words meet their counts in a join.
+Counts of word pairs are quantised on a logarithmic scale, and a pair of level q is put in the
+filter as (pair, 1) .. (pair, q); its level is read back by probing 1, 2, ... until one is missing.
+A text is scored by hierarchical Dirichlet smoothing: P(w | v) = (c(vw) + mu P(w)) / (c(v) + mu),
+with P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)). Counts of words are exact.
+
+The filter is cut into segments by the code of the pair, more of them the larger the corpus, and is
+never in one place. Texts are gathered in chunks; a chunk sends the sorted codes of its pairs and
+words, with their counts in training texts, to the segments as one run of bytes each. A segment adds
+them up, fills a filter as large as its own pairs need, probes it, and answers each chunk with a
+level a pair and a count a word; the chunk's tokens meet these answers in a second exchange.
 
 Defined results: null text counts as empty and has its end as the only token; no training row at
 all gives N = V = 0; repeated rows are scored each; an empty table gives an empty result; other
@@ -23,8 +22,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +31,12 @@ from planwright.llm.common import documents, shuffle_parts, written
 from planwright.llm.tokens import mix, raw, small, word_hashes
 
 START, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
-_PAIR, _WORD, _LEVEL = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F), np.uint64(0x9E3779B97F4A7C15)
+_PAIR, _LEVEL = np.uint64(0x9FB21C651E98DF25), np.uint64(0x9E3779B97F4A7C15)
 SEGMENTS, HASHES, BASE = 1024, 4, 1.5
 #: Bits that an item of the filter needs for HASHES probes to be reliable; classes of counts.
 ITEM_BITS, CLASSES = 6, 8
-#: Tokens whose n-grams are summed up in a task before they are sent on.
-GATHER = 1 << 21
+#: Tokens of a chunk (a longer text is one by itself), and bytes of text for each segment.
+GATHER, SEGMENT_TEXT = 1 << 20, 1 << 22
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -58,24 +57,21 @@ def pair_codes(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mix(before * _PAIR + words)
 
 
-def word_codes(words: np.ndarray) -> np.ndarray:
-    return mix(words ^ _WORD)
-
-
 @dataclass
 class LogBloom:
-    """SEGMENTS equal bit fields; an item's probes all lie in the segment of its code."""
+    """Equal bit fields, or one of them by itself; an item's probes all lie in the field of its code."""
 
     bits: np.ndarray  # uint8
+    segments: int = SEGMENTS
 
     @property
     def segment_bits(self) -> int:
-        return len(self.bits) * 8 // SEGMENTS
+        return len(self.bits) * 8 // self.segments
 
     def level(self, codes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(codes), np.int64)
         alive, j = np.arange(len(codes)), 1
-        base = (codes >> np.uint64(54)).astype(np.int64) * self.segment_bits
+        base = (codes >> np.uint64(54)).astype(np.int64) * self.segment_bits if self.segments > 1 else np.zeros(len(codes), np.int64)
         while len(alive):
             for i in range(HASHES):  # most absent items fail at the first probe already
                 if i == 0:
@@ -125,172 +121,192 @@ class _Segment:
         return out.tobytes()
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], text_at: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Word hashes with END after each text, and where texts begin; about GATHER tokens at a time."""
-    held, n = [], 0
-    for batch in small(batches):
-        for text in raw(batch.column(text_at)):
-            held.append(np.append(word_hashes(text), END))
-            n += len(held[-1])
-            if n >= GATHER:
-                yield np.concatenate(held), np.cumsum([0, *map(len, held)])[:-1]
-                held, n = [], 0
+def filled(codes: np.ndarray, counts: np.ndarray) -> LogBloom:
+    """The filter of distinct ``codes``, as large as their items need: none is left out."""
+    items = int(levels(counts).sum()) if len(counts) else 0
+    segment = _Segment(1 << max(6, (items * ITEM_BITS - 1).bit_length()))
+    segment.add(codes, counts)
+    return LogBloom(np.frombuffer(segment.sealed(), np.uint8), 1)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first: the empty high bytes compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _unplaned(b: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Ascending numbers by their differences."""
+    return _planes(np.diff(x, prepend=np.zeros(1, np.uint64)))
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.cumsum(_unplaned(b, np.uint64), dtype=np.uint64)
+
+
+def _runs(codes: np.ndarray, segments: int) -> np.ndarray:
+    """Where the codes of each segment begin among sorted ones, and where the last end."""
+    step = (1 << 64) // segments
+    return np.append(np.searchsorted(codes, np.arange(segments, dtype=np.uint64) * np.uint64(step % (1 << 64))), len(codes))
+
+
+def _told(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[dict]]:
+    """Rows of batches in groups of equal values in column ``by``, by which they are sorted."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[0][batch.schema.names[by]] != row[batch.schema.names[by]]:
+                yield held
+                held = []
+            held.append(row)
     if held:
-        yield np.concatenate(held), np.cumsum([0, *map(len, held)])[:-1]
+        yield held
 
 
-def _counted(codes: np.ndarray) -> pa.RecordBatch:
-    at, kinds = pd.factorize(codes)
-    return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.uint64).view(np.int64)), pa.array(np.bincount(at, minlength=len(kinds)).astype(np.int64))], names=["code", "n"])
+def _chunks(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, text, held_out) -> a row for each chunk: its distinct words in order, each
+    token's place among them, and tokens, id and held_out of each text."""
+    kind = rows.schema["id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, n, ids, out, held = TaskContext.get().partitionId() << 32, 0, [], [], []
+        for batch in small(batches):
+            begin = 0
+            for i, text in enumerate(raw(batch.column(1))):
+                held.append(np.append(word_hashes(text), END))
+                n += len(held[-1])
+                if n >= GATHER:
+                    ids.append(batch.column(0).slice(begin, i + 1 - begin))
+                    out.append(batch.column(2).slice(begin, i + 1 - begin))
+                    yield from sent(chunk, pa.concat_arrays(ids), pa.concat_arrays(out), held)
+                    chunk, n, ids, out, held, begin = chunk + 1, 0, [], [], [], i + 1
+            if begin < batch.num_rows:
+                ids.append(batch.column(0).slice(begin))
+                out.append(batch.column(2).slice(begin))
+        if held:
+            yield from sent(chunk, pa.concat_arrays(ids), pa.concat_arrays(out), held)
+
+    def sent(chunk: int, ids: pa.Array, held_out: pa.Array, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        sizes = np.array([len(h) for h in held])
+        words, at = np.unique(np.concatenate(held), return_inverse=True)
+        one = lambda b: pa.array([b], pa.binary())
+        some = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        yield pa.RecordBatch.from_arrays([pa.array([chunk]), one(_packed(words)), one(_planes(at.astype(np.int32))), one(_planes(sizes)), some(ids), some(held_out)], names=["chunk", "words", "at", "sizes", "ids", "held_out"])
+
+    return rows.select("id", "text", "held_out").mapInArrow(run, f"chunk long, words binary, at binary, sizes binary, ids array<{kind}>, held_out array<boolean>")
+
+
+def _asked(chunks: DataFrame, segments: int) -> DataFrame:
+    """For each chunk and segment the codes of pairs and the words that lie in it, each with its
+    count in training texts."""
 
-def word_counts(train: DataFrame, text_col: str) -> DataFrame:
-    """(w, c): occurrences of each word hash, ends of texts included."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk, packed, at, sizes, held_out = (batch.column(j)[i] for j in range(5))
+                words, at, sizes = _unpacked(packed.as_py()), _unplaned(at.as_py(), np.int32), _unplaned(sizes.as_py(), np.int64)
+                learnt = np.repeat(~held_out.values.fill_null(True).to_numpy(zero_copy_only=False).astype(bool), sizes)
+                seen = np.bincount(at, weights=learnt, minlength=len(words)).astype(np.int64)
+                codes, of = np.unique(pair_codes(words[at], np.cumsum(sizes) - sizes), return_inverse=True)
+                times = np.bincount(of, weights=learnt, minlength=len(codes)).astype(np.int64)
+                p, q = _runs(codes, segments), _runs(words, segments)
+                cut = lambda x, ends: pa.array([_packed(x[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())  # noqa: B023, E731
+                counts = pa.array([_planes(np.append(times[a:b], seen[c:d])) for a, b, c, d in zip(p, p[1:], q, q[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(segments, chunk.as_py())), pa.array(np.arange(segments, dtype=np.int32)), cut(codes, p), cut(words, q), counts], names=["chunk", "segment", "codes", "words", "counts"])
+
+    return chunks.select("chunk", "words", "at", "sizes", "held_out").mapInArrow(run, "chunk long, segment int, codes binary, words binary, counts binary")
+
+
+def _answers(asked: DataFrame) -> DataFrame:
+    """Of each chunk and segment the levels of its pairs and the counts of its words, in their
+    order; and one row a segment (chunk null) with the segment's share of N, V and of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, _ in _tokens(batches):
-            yield _counted(words)
-
-    return train.select(text_col).mapInArrow(run, "code long, n long").groupBy(F.col("code").alias("w")).agg(F.sum("n").alias("c"))
-
-
-def log_bloom(train: DataFrame, text_col: str, counts: DataFrame, tokens: int, max_bits: int) -> LogBloom:
-    """The filter of all words and word pairs of ``train``."""
-    spark = train.sparkSession
-    bits = 1 << max(20, min(int(max_bits).bit_length() - 1, int(np.ceil(np.log2(max(2, 4 * tokens))))))
-    size = bits // SEGMENTS
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, starts in _tokens(batches):
-            yield _counted(pair_codes(words, starts))
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w = b.column(0).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(word_codes(w).view(np.int64)), b.column(1)], names=["code", "n"])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, _Segment] = {}
-        for b in batches:
-            codes, n = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-            of = (codes >> np.uint64(54)).astype(np.int64)
-            sort = np.argsort(of, kind="stable")
-            ids, first = np.unique(of[sort], return_index=True)
-            for seg, own in zip(ids, np.split(sort, first[1:])):
-                held.setdefault(int(seg), _Segment(size)).add(codes[own], n[own])
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([s.sealed() for s in held.values()], pa.binary())], names=["segment", "bits"])
-
-    rows = train.select(text_col).mapInArrow(pairs, "code long, n long").unionByName(counts.select(F.col("w").alias("code"), F.col("c").alias("n")).mapInArrow(coded, "code long, n long"))
-    rows = rows.withColumn("segment", F.shiftrightunsigned("code", 54)).repartition(shuffle_parts(spark), "segment")
-    rows = rows.groupBy("segment", "code").agg(F.sum("n").alias("n")).select("code", "n")
-    built = written(rows.mapInArrow(build, "segment int, bits binary"), "bloom")
-    out = np.zeros(bits // 8, np.uint8)
-    for at in range(0, SEGMENTS, SEGMENTS // 8):  # at most max_bits / 8 bytes together, an eighth at a time
-        part = built.filter(F.col("segment").between(at, at + SEGMENTS // 8 - 1)).toArrow()
-        for segment, own in zip(part.column(0).to_pylist(), part.column(1)):
-            out[segment * (size // 8) : (segment + 1) * (size // 8)] = np.frombuffer(own.as_buffer(), np.uint8)
-    return LogBloom(out)
-
-
-def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The words above the smallest count class that leaves at most ``most`` of them: no global
-    order is made, the driver sees the sizes of some hundred classes."""
-    grade = F.floor(F.log2("c") * 4)
-    left, least = most, None
-    for r in sorted(counts.groupBy(grade.alias("grade")).count().collect(), key=lambda r: -r["grade"]):
-        if r["count"] > left:
-            break
-        left, least = left - r["count"], r["grade"]
-    return counts.filter(grade >= least) if least is not None else counts.limit(0)
+        for rows in _told(batches, 1):
+            codes, words = ([_unpacked(r[c]) for r in rows] for c in ("codes", "words"))
+            counts = [_unplaned(r["counts"], np.int64) for r in rows]
+            pairs, at = np.unique(np.concatenate(codes), return_inverse=True)
+            times = np.bincount(at, weights=np.concatenate([c[: len(x)] for c, x in zip(counts, codes)]), minlength=len(pairs)).astype(np.int64)
+            bloom = filled(pairs[times > 0], times[times > 0])
+            level = bloom.level(pairs).astype(np.uint8)[at]
+            kinds, of = np.unique(np.concatenate(words), return_inverse=True)
+            seen = np.bincount(of, weights=np.concatenate([c[len(x) :] for c, x in zip(counts, codes)]), minlength=len(kinds)).astype(np.int64)
+            told = seen[of]
+            i, j = np.cumsum([0, *map(len, codes)]), np.cumsum([0, *map(len, words)])
+            n = len(rows)
+            none = [None] * n
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*[r["chunk"] for r in rows], None], pa.int64()),
+                    pa.array([rows[0]["segment"]] * (n + 1), pa.int32()),
+                    pa.array([*[level[a:b].tobytes() for a, b in zip(i, i[1:])], None], pa.binary()),
+                    pa.array([*[_planes(told[a:b]) for a, b in zip(j, j[1:])], None], pa.binary()),
+                    pa.array([*none, int(seen.sum())], pa.int64()),
+                    pa.array([*none, int((seen > 0).sum())], pa.int64()),
+                    pa.array([*none, int(seen[kinds == END].sum())], pa.int64()),
+                ],
+                names=["chunk", "segment", "levels", "seen", "n", "v", "texts"],
+            )
+
+    rows = asked.repartition(shuffle_parts(asked.sparkSession), "segment").sortWithinPartitions("segment")
+    return rows.mapInArrow(run, "chunk long, segment int, levels binary, seen binary, n long, v long, texts long")
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", mu: float = 3000.0, hot: int = 1 << 18, max_bits: int = 1 << 29) -> DataFrame:
-    """For each row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
+    """For each row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
+    ``hot`` and ``max_bits``, bounds of a filter that was broadcast, are taken and have no effect."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (~train).alias("held_out"))
-    learning = rows.filter(~F.col("held_out"))
-    counts = written(word_counts(learning, "text"), "words")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    tokens, kinds = total["n"], total["v"]
-    ends = counts.filter(F.col("w") == int(END.view(np.int64))).first()
-    texts = ends["c"] if ends else 0
-    common = _most_frequent(counts, hot).toPandas().sort_values("w")
-    hot_words, hot_counts = common.w.to_numpy(np.int64), common.c.to_numpy(np.float64)
-    filled = log_bloom(learning, "text", counts, tokens, max_bits)
-    sent = spark.sparkContext.broadcast((filled.bits, hot_words, hot_counts))
-    del filled
-    below = tokens + 0.1 * (kinds + 1)
-
-    def exact(words: np.ndarray, hot_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(hot_words, words), max(0, len(hot_words) - 1))
-        return at, hot_words[at] == words if len(hot_words) else np.zeros(len(words), bool)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    chunks = written(_chunks(rows), "chunks")
+    answers = written(_answers(_asked(chunks, 1 << (size // SEGMENT_TEXT).bit_length())), "answers")
+    total = answers.filter("chunk is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "texts")]).first()
+    tokens, texts = total["n"], total["texts"]
+    below = tokens + 0.1 * (total["v"] + 1)
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hot_words, hot_counts = sent.value
-        bloom = LogBloom(bits)
-        for batch in small(batches, 4096):
-            texts_of = raw(batch.column(1))
-            begin = 0
-            while begin < len(texts_of):
-                end, held, n = begin, [], 0
-                while end < len(texts_of) and (n < GATHER // 4 or end == begin):
-                    held.append(np.append(word_hashes(texts_of[end]), END))
-                    n += len(held[-1])
-                    end += 1
-                yield part(batch.slice(begin, end - begin), held, bloom, hot_words, hot_counts)
-                begin = end
-
-    def part(batch: pa.RecordBatch, held: list[np.ndarray], bloom: LogBloom, hot_words: np.ndarray, hot_counts: np.ndarray) -> pa.RecordBatch:
-        words, sizes = np.concatenate(held), np.array([len(h) for h in held])
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # a chunk's tokens come first, then its answers by segment
+            chunk = batch.column(0).to_numpy()
+            ends = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for a, b in zip(ends, ends[1:]):
+                if held and a < b and held[0].column(0)[0].as_py() != chunk[a]:
+                    yield scored(held)
+                    held = []
+                if a < b:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield scored(held)
+
+    def scored(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        own = parts[0].slice(0, 1)
+        level = np.frombuffer(b"".join(x for p in parts for x in p.column(2).to_pylist() if x), np.uint8)
+        count = np.concatenate([_unplaned(x, np.int64) for p in parts for x in p.column(3).to_pylist() if x]).astype(np.float64)
+        words = _unpacked(own.column(4)[0].as_py())
+        at, sizes = _unplaned(own.column(5)[0].as_py(), np.int32), _unplaned(own.column(6)[0].as_py(), np.int64)
         starts = np.cumsum(sizes) - sizes
-        at, uniq = pd.factorize(words)
-        uniq = uniq.astype(np.uint64)
-        where, is_hot = exact(uniq.view(np.int64), hot_words)
-        c = np.zeros(len(uniq))
-        c[is_hot] = hot_counts[where[is_hot]]
-        guess = c.copy()
-        guess[~is_hot] = level_value(bloom.level(word_codes(uniq[~is_hot])))
-        # Smoothed probabilities: pairs by their level, contexts and words by count or level.
-        pairs, codes = pd.factorize(pair_codes(words, starts))
-        pair_count = level_value(bloom.level(codes.astype(np.uint64)))[pairs]
-        context = np.empty(len(words))
-        context[1:] = guess[at[:-1]]
+        codes, of = np.unique(pair_codes(words[at], starts), return_inverse=True)
+        if len(codes) != len(level) or len(words) != len(count):
+            raise RuntimeError("a chunk has not got all of its answers")
+        pair_count = level_value(np.arange(256))[level][of]
+        context = np.empty(len(at))
+        context[1:] = count[at[:-1]]
         context[starts] = texts
-        lm = np.log10((np.minimum(pair_count, context) + mu * ((guess + 0.1) / below)[at]) / (context + mu))
-        exact_terms = np.where(is_hot, np.log10((c + 0.1) / below), 0.0)[at]
-        row = batch.column(3).to_numpy()
-        # What is not hot goes on as (row, word, times).
-        cold = np.flatnonzero(~is_hot[at])
-        doc = np.repeat(np.arange(len(held)), sizes)
-        both, times = np.unique(doc[cold] << 32 | at[cold], return_counts=True)
-        d, w = both >> 32, both & 0xFFFFFFFF
-        k, m = len(held), len(d)
-        none = lambda kind: pa.nulls(m, kind)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([row, row[d]])),
-                pa.array(np.concatenate([mix(row.astype(np.uint64)), uniq[w]]).view(np.int64)),
-                pa.array(np.concatenate([np.zeros(k, np.int64), times.astype(np.int64)])),
-                pa.concat_arrays([batch.column(0), none(batch.column(0).type)]),
-                pa.concat_arrays([batch.column(2), none(pa.bool_())]),
-                pa.concat_arrays([pa.array(sizes.astype(np.int64)), none(pa.int64())]),
-                pa.concat_arrays([pa.array(np.add.reduceat(is_hot[at].astype(np.int64), starts)), none(pa.int64())]),
-                pa.concat_arrays([pa.array(np.add.reduceat(exact_terms, starts)), none(pa.float64())]),
-                pa.concat_arrays([pa.array(np.add.reduceat(lm, starts)), none(pa.float64())]),
-            ],
-            names=["row", "w", "times", "id", "held_out", "n_tokens", "hot_known", "hot_score", "score"],
-        )
-
-    kind = rows.schema["id"].dataType.simpleString()
-    parts = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, f"row long, w long, times long, id {kind}, held_out boolean, n_tokens long, hot_known long, hot_score double, score double")
-    # A row with times = 0 carries the text's own sums; its w is only there to spread such rows.
-    met = parts.join(counts.select("w", "c"), "w", "left")
-    c = F.when(F.col("times") > 0, F.coalesce("c", F.lit(0)))
-    term = F.when(F.col("times") > 0, F.col("times") * F.log10((c + 0.1) / F.lit(below)))
-    known = F.when(c > 0, F.col("times"))
-    zero = F.lit(0).cast("long")
-    out = met.groupBy("row").agg(F.max("id").alias(id_col), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), (F.max("hot_known") + F.coalesce(F.sum(known), zero)).alias("n_known"), (F.max("hot_score") + F.coalesce(F.sum(term), F.lit(0.0))).alias("base_score"), F.max("score").alias("score"))
-    return out.select(id_col, "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")
+        base = (count + 0.1) / below
+        lm = np.log10((np.minimum(pair_count, context) + mu * base[at]) / (context + mu))
+        sums = [sizes, np.add.reduceat((count > 0).astype(np.int64)[at], starts), np.add.reduceat(np.log10(base)[at], starts), np.add.reduceat(lm, starts)]
+        return pa.RecordBatch.from_arrays([own.column(7).flatten(), own.column(8).flatten(), *map(pa.array, sums)], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    own, told = ("words", "at", "sizes", "ids", "held_out"), ("levels", "seen")
+    asking = chunks.select("chunk", F.lit(-1).alias("segment"), *[F.lit(None).cast("binary").alias(c) for c in told], *own)
+    telling = answers.filter("chunk is not null").select("chunk", "segment", *told, *[F.lit(None).cast(chunks.schema[c].dataType).alias(c) for c in own])
+    met = asking.unionByName(telling).repartition(shuffle_parts(spark), "chunk").sortWithinPartitions("chunk", "segment")
+    out = met.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def in_training(id_col: str) -> Column:

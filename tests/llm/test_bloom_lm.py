@@ -89,3 +89,28 @@ def test_a_full_segment_drops_its_rarest_class():
     bits[: 1 << 9] = np.frombuffer(seg.sealed(), np.uint8)
     level = lm.LogBloom(bits).level(codes)
     assert (level[:30] >= lm.levels(np.array([100]))).all() and (level[30:] > 0).mean() < 0.3
+
+
+def test_no_pair_is_left_out_however_many_there_are(spark, monkeypatch):
+    """More pairs than a filter of ``max_bits`` could hold: each still counts, in many segments."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lm, "SEGMENT_TEXT", 1 << 16, raising=False)
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(map(str, rng.integers(0, 3000, 6000)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in lm.score(df, F.lit(True), mu=5.0, hot=100, max_bits=1 << 20).collect()}
+    c, pairs = Counter(), Counter()
+    for _, t in rows:
+        ws = words(t)
+        c.update(ws)
+        pairs.update(zip(["<s>", *ws], ws))
+    n, v = sum(c.values()), len(c)
+    value = lambda k: float(lm.level_value(lm.levels(np.array([k])))[0])
+    for i, t in rows[:3]:
+        ws = words(t)
+        exact = 0.0
+        for a, b in zip(["<s>", *ws], ws):
+            context = len(rows) if a == "<s>" else c[a]
+            exact += math.log10((min(value(pairs[a, b]), context) + 5.0 * (c[b] + 0.1) / (n + 0.1 * (v + 1))) / (context + 5.0))
+        assert abs(got[i] - exact) < 0.03 * abs(exact)
