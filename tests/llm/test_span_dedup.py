@@ -72,3 +72,23 @@ def test_units_of_odd_texts():
 
 def test_empty(nothing):
     assert sd.span_dedup(nothing).count() == 0
+
+
+def test_shared_runs_go_wherever_they_begin(spark):
+    """Runs of 51 words and more after differing numbers of words, in mid-sentence, with and without spaces."""
+    rng = random.Random(9)
+    make = lambda n: ["w%d" % rng.randrange(10**6) for _ in range(n)]
+    rows, runs = [], 40
+    for k in range(runs):
+        shared = make(51 + k % 30)
+        for side in range(2):
+            begin, end = make(rng.randrange(1, 40)), make(rng.randrange(1, 40))
+            if side and k % 2:
+                begin[rng.randrange(len(begin))] += "."
+            rows.append((2 * k + side, " ".join([*begin, *shared, *end])))
+    han = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(80))
+    rows += [(1000, "一丁" + han), (1001, "七万丈三上下" + han + "不与丐")]
+    got = {r.doc_id: r for r in sd.span_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert (got[i].n_removed > 0) == (i % 2 == 1)
+        assert i % 2 or got[i].text == t
