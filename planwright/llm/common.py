@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,8 @@ SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+#: Bytes that go to a Python worker at once: whatever the rows, the buffers of a task stay small.
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 _written: dict[str, list[str]] = {}
 
 
@@ -43,18 +47,41 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage in a
-    way that survives lost executors. The tables go when the Python process ends, or by
-    ``forget``."""
-    spark = df.sparkSession
+@contextmanager
+def set_for(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the time of an action; what was there before comes back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def keep_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes by ``forget``."""
     path = f"{shared_dir(spark)}/planwright/{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
     if "paths" not in _written:
         _written["paths"] = []
         atexit.register(forget)
     _written["paths"].append(path)
+    return path
+
+
+def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage in a
+    way that survives lost executors. The tables go when the Python process ends, or by
+    ``forget``."""
+    spark = df.sparkSession
+    path = keep_path(spark, name)
+    with set_for(spark, _BATCHES):
+        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+        writer.parquet(path)
     # Column names and types are known, so no job infers them and an empty table reads back too.
     return spark.read.schema(df.schema).parquet(path)
 
@@ -84,9 +111,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def pairs128(c: Column) -> list[Column]:
-    """Two independent 64-bit hashes: as a pair, safe to tell 10^15 keys apart."""
-    return [F.xxhash64(c), F.xxhash64(F.lit(0x5BD1E995), c)]
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """Names for result columns beside those of ``docs``: one that is taken, in whatever case, gets
+    underscores behind it until it is free."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -6,18 +6,27 @@ that no run has (the anti join) are added as the batch's own sorted run, what it
 is kept as an increment. Runs of one level are compacted into one run of the next level whenever
 ``fanout`` of them have gathered, so a batch meets few runs, and every key lies in one of them.
 
+Runs are tables bucketed and sorted by key in the shared folder, all in the same number of buckets: a
+batch moves once, to those buckets, and meets every run there; runs are neither moved nor sorted again.
+
 Defined results: null or empty text is one empty line; a null id sorts below every number;
-repeated rows (same id) count as one document and share a decision; other columns are ignored.
+repeated rows (same id) count as one document and share a decision; texts that share an id are one
+document when lines are counted and are cut each; an empty table gives an empty result; all columns
+are kept, and a result column whose name the input has already gets an underscore behind it.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwright.llm.common import SPACE, ascii_lower, documents, written
+from planwright.llm.common import SPACE, ascii_lower, documents, free_names, keep_path, set_for, shuffle_parts, written
+
+#: Lets a scan of a bucket that is one file say that it is sorted.
+_ORDERED = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.bucketing.coalesceBucketsInJoin.enabled": "false"}
 
 
 def line_key(line: Column) -> Column:
@@ -29,21 +38,32 @@ class LineRuns:
     """Levels of sorted runs (h1, h2, n_docs, top), no key in two of them: level i holds runs of
     about fanout**i batches. What later batches say of known keys waits in ``increments``."""
 
+    spark: SparkSession
     fanout: int = 4
     levels: list[list[DataFrame]] = field(default_factory=list)
     increments: list[DataFrame] = field(default_factory=list)
+    tables: list[str] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.buckets = shuffle_parts(self.spark)
 
     def add(self, run: DataFrame) -> None:
-        """``run``: one row for each key of a batch; the documents of batches are disjoint. One
-        merge join with the runs' keys parts it: new keys are its own run, the others increments."""
-        held = self._union(self._runs())
-        if held is None:
-            self._put(written(run.sortWithinPartitions("h1", "h2"), "run"), 0)
-            return
-        told = run.join(held.select("h1", "h2", F.lit(True).alias("old")).hint("merge"), ["h1", "h2"], "left")
-        told = written(told.sortWithinPartitions("h1", "h2"), "run")
-        self._put(told.filter("old is null").drop("old"), 0)
-        self.increments.append(told.filter("old").drop("old"))
+        """``run``: one row for each key of a batch; the documents of batches are disjoint. A merge
+        join with each run parts it: new keys are its own run, the others increments."""
+        told = self._sorted(self.met(run))
+        self._put(told.filter("not old").drop("old"), 0)
+        if len(self.levels) > 1 or len(self.levels[0]) > 1:
+            self.increments.append(told.filter("old").drop("old"))
+        if len(self.increments) >= self.fanout:
+            self.increments = [self._sorted(_merged(_union(self.increments)))]
+
+    def met(self, run: DataFrame) -> DataFrame:
+        """``run`` with ``old``: whether one of the runs has the key."""
+        old = F.lit(False)
+        for i, held in enumerate(self._runs()):
+            run = run.join(held.select("h1", "h2", F.lit(True).alias(f"in{i}")).hint("merge"), ["h1", "h2"], "left")
+            old = old | F.col(f"in{i}").isNotNull()
+        return run.select("h1", "h2", "n_docs", "top", old.alias("old"))
 
     def _put(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
@@ -51,24 +71,36 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            # The runs share no key: compaction only brings them into one order.
-            self._put(written(self._union(full).repartition("h1", "h2").sortWithinPartitions("h1", "h2"), "run"), level + 1)
-        if len(self.increments) >= self.fanout:
-            self.increments = [written(_merged(self._union(self.increments)), "increments")]
+            self._put(self._sorted(_merged(_union(full))), level + 1)
+
+    def _sorted(self, rows: DataFrame) -> DataFrame:
+        """``rows``, which come from a join or a grouping by key, as a table of buckets: as those deal
+        rows the way buckets do, a bucket is one file, in the order of the key."""
+        name = f"planwright_run_{uuid.uuid4().hex}"
+        with set_for(self.spark, _ORDERED):
+            rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", keep_path(self.spark, "run")).saveAsTable(name)
+        self.tables.append(name)
+        return self.spark.table(name)
 
     def _runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
-    @staticmethod
-    def _union(runs: list[DataFrame]) -> DataFrame | None:
-        out = None
-        for run in runs:
-            out = run if out is None else out.unionByName(run)
-        return out
-
     def compacted(self) -> DataFrame:
         """All keys with what all batches say of them."""
-        return _merged(self._union([*self._runs(), *self.increments]))
+        return _merged(_union([*self._runs(), *self.increments]))
+
+    def close(self) -> None:
+        """Take the runs out of the session's catalog."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables.clear()
+
+
+def _union(runs: list[DataFrame]) -> DataFrame:
+    out = runs[0]
+    for run in runs[1:]:
+        out = out.unionByName(run)
+    return out
 
 
 def _merged(rows: DataFrame) -> DataFrame:
@@ -89,14 +121,15 @@ def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int,
         .filter(F.length("key") >= min_chars)
         .select("id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(0x5BD1E995), "key").alias("h2"))
     )
-    keyed = written(keyed.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches))), "lines")
-    runs = LineRuns(fanout)
+    keyed = written(keyed.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")), "lines", "batch")
+    runs = LineRuns(docs.sparkSession, fanout)
     for b in range(batches):
         once = keyed.filter(F.col("batch") == b).select("h1", "h2", "id").distinct()  # a document counts once
         runs.add(once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("top")))
     frequent = written(runs.compacted().filter(F.col("n_docs") >= min_docs), "frequent")
+    runs.close()
     lost = keyed.join(frequent, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("top")))
-    return lost.groupBy("id", "th").agg(F.collect_list("pos").alias("lost"))
+    return lost.groupBy("id", "th").agg(F.collect_set("pos").alias("lost"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4) -> DataFrame:
@@ -105,7 +138,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A key (line stripped of ASCII white space, A-Z lower-cased) of at least ``min_chars`` code
     points found in at least ``min_docs`` documents stays only in the largest id that holds it.
     """
-    docs = docs.drop("n_lines", "n_dropped")
     names = docs.columns
     own = docs.toDF(*[f"c{i}" for i in range(len(names))])  # whatever the columns are called
     ident, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
@@ -117,7 +149,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = F.size("lines").cast("long")
     gone = F.when(F.col("lost").isNull(), F.lit(0).cast("long")).otherwise(n - F.size(places))
     out = joined.select(*[F.when(F.col("lost").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else F.col(c) for c in own.columns], n.alias("n_lines"), gone.alias("n_dropped"))
-    return out.toDF(*names, "n_lines", "n_dropped")
+    return out.toDF(*names, *free_names(docs, "n_lines", "n_dropped"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
