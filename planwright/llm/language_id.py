@@ -1,16 +1,21 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language.
 
-The models are fitted on a bounded sample of labelled rows (``max_docs`` of each language, by a
-hash of the id; ``max_chars`` is the longest text the sample takes) and held as sorted hash arrays
-that all languages share: one array of n-gram hashes for each order, beside it a matrix with a
-column of log-probabilities and one of back-off weights for each language. A text gets the language
-of lowest cross-entropy for each character; a text whose cross-entropy is beyond what held-back
-labelled rows of that language show, plus a margin, is rejected.
+The models are fitted on a bounded sample of labelled rows - of each language the ``max_docs``
+different texts of smallest hash, and no more of them than it takes to reach ``max_chars`` characters -
+and held as sorted hash arrays that all languages share: one array of n-gram hashes for each order,
+beside it a matrix with a column of log-probabilities and one of back-off weights for each language.
+A text gets the language of lowest cross-entropy for each character.
+
+A text is rejected whose cross-entropy is beyond the limit of that language. The limit comes from
+labelled rows held back of the fit: it lies half way from what nearly all rows of the language stay
+below to what nearly all rows of the other languages stay above.
 
 Every text is read whole. Defined results: null text, or text without a letter, is ``und`` with
-score 0 and rejected; no labelled row at all: every text is ``und``; ties go to the language that
-sorts first; repeated rows are judged each; an empty table gives an empty result; other columns
-are ignored by the prediction.
+score 0 and rejected; no labelled row at all: every text is ``und``; texts of fewer than 60 letters,
+and languages with fewer than 50 labelled texts, have no limit; ties go to the language that sorts
+first; repeated rows are judged each and drawn once; an empty table gives an empty result; other
+columns stay and are ignored by the prediction; a result column whose name the input has already
+gets an underscore behind it.
 """
 
 from __future__ import annotations
@@ -21,10 +26,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from planwright.llm.common import documents
+from planwright.llm.common import documents, free_names, importable
 from planwright.llm.tokens import small
 
 UND = "und"
@@ -210,14 +216,22 @@ class CharModels:
             np.add.at(sums, at, np.add.reduceat(found.astype(np.float64), first, axis=0))
             np.add.at(sizes, at, np.diff(np.r_[first, len(own)]))
 
-    def calibrate(self, by_lang: dict[str, list[str]], quantile: float = 0.995, margin: float = 1.25, shortest: int = 60) -> None:
-        """From rows held back of the fit: the cross-entropy beyond which a text is rejected."""
+    def calibrate(self, by_lang: dict[str, list[str]], quantile: float = 0.995, least: float = 0.3, alone: float = 0.75, shortest: int = 60) -> None:
+        """From rows held back of the fit: the cross-entropy beyond which a text is rejected. The
+        margin above a language's own rows is half the gap to those of the others, at least
+        ``least``; ``alone`` if there are no others."""
         self.limit = np.full(len(self.langs), np.inf)
-        for k, lang in enumerate(self.langs):
+        found = {}
+        for lang in self.langs:
             ce, n = self.entropy(by_lang.get(lang, []))
-            own = ce[n >= shortest, k] if len(n) else []
+            found[lang] = ce[n >= shortest]
+        for k, lang in enumerate(self.langs):
+            own = found[lang][:, k]
+            others = [found[x][:, k] for x in self.langs if x != lang and len(found[x])]
             if len(own) >= 10:
-                self.limit[k] = np.quantile(own, quantile) + margin
+                high = np.quantile(own, quantile)
+                margin = max(least, (np.quantile(np.concatenate(others), 1 - quantile) - high) / 2) if others else alone
+                self.limit[k] = high + margin
 
     def predict(self, texts: list[str | None], shortest: int = 60) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and rejection of each text."""
@@ -231,17 +245,28 @@ class CharModels:
         return [self.langs[b] if s else UND for b, s in zip(best, some)], score, far | ~some
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 400, max_chars: int = 20_000, order: int = 4) -> CharModels:
-    """Models of the languages of ``docs``, from at most ``max_docs`` labelled rows of each."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(1 << 30)).alias("h"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+def drawn(docs: DataFrame, text_col: str, lang_col: str, max_docs: int, max_chars: int) -> DataFrame:
+    """(lang, h, text): the bounded sample that models are fitted on. The texts are drawn by a hash of
+    their own, so copies count once, and copies collapse where they are read."""
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(7), "text"), 2))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not sizes:
-        return CharModels.fit({}, order)
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, 1.3 * max_docs / n) * (1 << 30)))])
-    drawn = rows.filter(F.col("h") < share[F.col("lang")]).toPandas().sort_values(["lang", "h"], kind="stable")
+        return rows.select("lang", "h", "text").limit(0)
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, (1.3 * max_docs + 20) / max(n, 1)) * (1 << 62)))])
+    some = rows.filter(F.col("h") <= share[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return some.withColumns({"place": F.row_number().over(order), "before": before}).filter((F.col("place") <= max_docs) & (F.col("before") < max_chars)).select("lang", "h", "text")
+
+
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = 400, max_chars: int = 4_000_000, order: int = 4) -> CharModels:
+    """Models of the languages of ``docs``, from at most ``max_docs`` labelled texts of each."""
+    importable(docs.sparkSession)
+    rows = drawn(docs, text_col, lang_col, max_docs, max_chars).toPandas().sort_values(["lang", "h"], kind="stable")
     fit, held = {}, {}
-    for lang, own in drawn.groupby("lang"):
-        texts = own.text.tolist()[:max_docs]
+    for lang, own in rows.groupby("lang"):
+        texts = own.text.tolist()
         held[lang] = texts[::5] if len(texts) >= 50 else []
         fit[lang] = [t for i, t in enumerate(texts) if i % 5] if len(texts) >= 50 else texts
     models = CharModels.fit(fit, order)
@@ -249,9 +274,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return models
 
 
-def identify(docs: DataFrame, models: CharModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, models: CharModels, text_col: str = "text") -> DataFrame:
     """For each row: its columns, lang_pred, lang_score, rejected. The models are bounded by the
     sample they were fitted on and sent to each worker."""
+    importable(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(models)
     at = docs.columns.index(text_col)
 
@@ -260,12 +286,10 @@ def identify(docs: DataFrame, models: CharModels, id_col: str = "doc_id", text_c
             langs, score, rejected = sent.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[f"c{i}" for i in range(batch.num_columns + 3)])
 
-    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
-
     kinds = [*[f.dataType for f in docs.schema], StringType(), DoubleType(), BooleanType()]
-    names = [*docs.columns, "lang_pred", "lang_score", "rejected"]
     own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return own.mapInArrow(run, StructType([StructField(f"c{i}", k) for i, k in enumerate(kinds)])).toDF(*names)
+    out = own.mapInArrow(run, StructType([StructField(f"c{i}", k) for i, k in enumerate(kinds)]))
+    return out.toDF(*docs.columns, *free_names(docs, "lang_pred", "lang_score", "rejected"))
 
 
 def held_out(id_col: str) -> Column:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -40,6 +41,67 @@ def test_probabilities_sum_to_one(rows):
         assert (p <= 1.0001).all() and (p > 0.6).all()
 
 
+def kneser_ney(by_lang, order=4):
+    """Interpolated Kneser-Ney by dictionaries: p(lang, context, character), context of any length."""
+    size = len({c for texts in by_lang.values() for t in texts for c in " " + t})
+    models = {}
+    for lang, texts in by_lang.items():
+        seen = [Counter() for _ in range(order + 1)]
+        for t in texts:
+            t = " " + t
+            for n in range(1, order + 1):
+                seen[n].update(t[i : i + n] for i in range(len(t) - n + 1))
+        counts = [None] * (order + 1)
+        counts[order] = dict(seen[order])
+        for n in range(order - 1, 0, -1):  # kinds of characters before; 1 where there is none
+            kinds = Counter(g[1:] for g in counts[n + 1])
+            counts[n] = {g: kinds.get(g, 1) for g in {*kinds, *seen[n]}}
+        models[lang] = counts
+
+    def p(lang, context, c):
+        counts, n = models[lang], len(context) + 1
+        if n == 1 and not c:
+            return 1 / (size + 1)
+        lower = p(lang, context[1:], c) if n > 1 else 1 / (size + 1)
+        own = counts[n]
+        n1, n2 = (sum(v == k for v in own.values()) for k in (1, 2))
+        cut = min(0.95, max(0.1, n1 / max(1, n1 + 2 * n2)))
+        after = {g: v for g, v in own.items() if g[:-1] == context}
+        total = sum(after.values())
+        if not total:
+            return lower
+        return (max(own.get(context + c, 0) - cut, 0) if context + c in own else 0) / total + cut * len(after) / total * lower
+
+    return p
+
+
+def test_same_as_kneser_ney_by_dictionaries(rows):
+    by_lang = {x: [t for _, t, y in rows[:24] if y == x] for x in ("aa", "cc")}
+    by_lang["zz"] = ["ab", "a", "abc abd", "b a"]
+    m, p = li.CharModels.fit(by_lang), kneser_ney(by_lang)
+    text = "the ing ção abd aba"
+    for i in range(3, len(text)):
+        gram = text[i - 3 : i + 1]
+        code = 0
+        for ch in gram:
+            code = code << 16 | ord(ch)
+        got = np.exp(m.look(np.array([code], np.uint64), 4)[0].astype(float))
+        known = any(gram[-1] in " " + t for texts in by_lang.values() for t in texts)
+        assert known
+        for lang, value in zip(m.langs, got):
+            assert abs(value - p(lang, gram[:3], gram[3])) < 1e-5, (lang, gram)
+
+
+def test_cross_entropy_is_that_of_the_text(rows):
+    by_lang = {"aa": [t for _, t, y in rows[:24] if y == "aa"]}
+    m, p = li.CharModels.fit(by_lang), kneser_ney(by_lang)
+    text = "the ing tion"
+    whole = " " + text
+    expected = -sum(np.log(p("aa", whole[max(0, i - 3) : i], whole[i])) for i in range(1, len(whole))) / len(text)
+    ce, n = m.entropy([text])
+    assert n[0] == len(text) and abs(ce[0, 0] - expected) < 1e-4
+
+
 def test_held_out_accuracy_and_rejection(table, rows):
     models = li.learn(table.filter(~li.held_out("doc_id")))
     out = li.identify(table, models)
@@ -54,6 +116,35 @@ def test_held_out_accuracy_and_rejection(table, rows):
     assert got[1004].lang_pred == "bb" and all(0 <= r.lang_score <= 1 for r in got.values())
 
 
+def test_a_language_that_was_not_learnt_is_rejected(table, rows):
+    models = li.learn(table.filter("lang <> 'cc'"))
+    got = {r.doc_id: r for r in li.identify(table, models).collect()}
+    strangers = [i for i, t, lang in rows[:300] if lang == "cc" and len(t) >= 100]
+    assert np.mean([got[i].rejected for i in strangers]) > 0.9
+    assert np.mean([got[i].rejected for i, _, lang in rows[:300] if lang != "cc"]) < 0.02
+
+
+def test_the_sample_is_bounded_whatever_the_ids_and_lengths(spark, table):
+    from pyspark.sql import functions as F
+
+    hot = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text again").alias("text"), F.lit("aa").alias("lang"))
+    many = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"), F.lit("bb").alias("lang"))
+    long = spark.createDataFrame([(1, "über ein " * 20_000, "dd"), (2, "ção " * 3, "dd")], "doc_id long, text string, lang string")
+    sample = li.drawn(hot.unionByName(many).unionByName(long), "text", "lang", 100, 150_000).collect()
+    found = Counter(r.lang for r in sample)
+    assert found["aa"] == 1 and found["bb"] == 100 and 1 <= found["dd"] <= 2
+    assert li.learn(long).langs == ["dd"]
+
+
+def test_result_names_and_values_of_the_input_stay(table):
+    from pyspark.sql import functions as F
+
+    mine = table.withColumns({c: F.lit("mine") for c in ("lang_pred", "REJECTED", "lang_score")})
+    out = li.identify(mine, li.learn(table))
+    assert out.columns == [*mine.columns, "lang_pred_", "lang_score_", "rejected_"]
+    assert out.select("lang_pred", "REJECTED", "lang_score").distinct().collect() == [("mine",) * 3]
+
+
 def test_long_texts_in_steps_score_the_same(rows, monkeypatch):
     m = li.CharModels.fit({x: [t for _, t, y in rows[:60] if y == x] for x in KINDS})
     long = " ".join(t for _, t, _ in rows[:200])
