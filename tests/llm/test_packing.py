@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 from hypothesis import given, settings
@@ -70,3 +71,34 @@ def test_hot_source_and_cluster():
     lengths = [rng.randint(1, 30) for _ in range(600)]
     out = pk.pack(lengths, [0 if i % 3 else 1 for i in range(600)], [7 if i % 3 == 0 else i + 10 for i in range(600)], 100, 4)
     assert out == brute(lengths, [0 if i % 3 else 1 for i in range(600)], [7 if i % 3 == 0 else i + 10 for i in range(600)], 100, 4)
+
+
+def test_one_cluster_and_one_source_are_passed_over():
+    """Equal rows need a bin each; the search does not walk over the bins of the others."""
+    n = 8000
+    began = time.perf_counter()
+    out = pk.pack([30] * n + [5] * n, [0] * 2 * n, [7] * n + list(range(100, 100 + n)), 100, 2)
+    assert time.perf_counter() - began < 10
+    by_bin = defaultdict(list)
+    for item, *_, number, _ in out:
+        by_bin[number].append(item)
+    assert all(len(v) <= 2 and sum(i < n for i in v) <= 1 for v in by_bin.values()) and len(out) == 2 * n
+
+
+def test_repeated_rows_are_dealt_over_the_shards(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(pk, "SHARD", 500)
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one and the same text").alias("text"), F.lit("s").alias("source"))
+    out = pk.best_fit(rows, capacity=64)
+    assert out.agg(F.count("*"), F.countDistinct("bin")).first() == (20_000, 20_000)
+    per_shard = out.groupBy(F.shiftright("bin", 32).alias("shard")).count().agg(F.count("*"), F.max("count")).first()
+    assert per_shard[0] == 40 and per_shard[1] < 700
+
+
+def test_clusters_of_a_column(spark):
+    rows = spark.createDataFrame([(i, "w " * 5, f"s{i}", i % 3) for i in range(12)], "doc_id long, text string, source string, group int")
+    by_bin = defaultdict(list)
+    for r in pk.best_fit(rows, capacity=100, cluster_col="group").collect():
+        by_bin[r.bin].append(r.doc_id % 3)
+    assert len(by_bin) == 4 and all(sorted(v) == [0, 1, 2] for v in by_bin.values())
