@@ -1,15 +1,22 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of word pairs are quantised on a logarithmic scale, and a pair of level q is put in the
-filter as (pair, 1) .. (pair, q); its level is read back by probing 1, 2, ... until one is missing.
-A text is scored by hierarchical Dirichlet smoothing: P(w | v) = (c(vw) + mu P(w)) / (c(v) + mu),
-with P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)). Counts of words are exact.
+Counts of word pairs and triples are quantised on a logarithmic scale, and an n-gram of level q is put
+in the filter as (n-gram, 1) .. (n-gram, q); its level is read back by probing 1, 2, ... until one is
+missing. A text is scored by hierarchical Dirichlet smoothing, from single words up:
 
-The filter is cut into segments by the code of the pair, more of them the larger the corpus, and is
-never in one place. Texts are gathered in chunks; a chunk sends the sorted codes of its pairs and
-words, with their counts in training texts, to the segments as one run of bytes each. A segment adds
-them up, fills a filter as large as its own pairs need, probes it, and answers each chunk with a
-level a pair and a count a word; the chunk's tokens meet these answers in a second exchange.
+    P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
+    P(w | v) = (c(vw) + mu P(w)) / (c(v) + mu)
+    P(w | u v) = (c(uvw) + nu P(w | v)) / (c(uv) + nu)
+
+Counts of words are exact. Of an n-gram the filter knows a range: its least count stands above the
+line and, where a pair is the context, its largest below, so that the probabilities of all words
+after a context sum to no more than 1 (but for false positives of the filter, about one in 40).
+
+The filter is cut into segments by the code of the n-gram, more of them the larger the corpus, and is
+never in one place. Texts are gathered in chunks; a chunk sends the sorted codes of its n-grams and
+words, with their counts in training texts, to the segments they lie in as one run of bytes each. A
+segment adds them up, fills a filter as large as its own n-grams need, probes it, and answers each chunk
+with a level an n-gram and a count a word; the chunk's tokens meet these answers in a second exchange.
 
 Defined results: null text counts as empty and has its end as the only token; no training row at
 all gives N = V = 0; repeated rows are scored each; an empty table gives an empty result; other
@@ -27,108 +34,87 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwright.llm.common import documents, shuffle_parts, written
+from planwright.llm.common import documents, importable, set_for, shuffle_parts, written
 from planwright.llm.tokens import mix, raw, small, word_hashes
 
 START, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
-_PAIR, _LEVEL = np.uint64(0x9FB21C651E98DF25), np.uint64(0x9E3779B97F4A7C15)
-SEGMENTS, HASHES, BASE = 1024, 4, 1.5
-#: Bits that an item of the filter needs for HASHES probes to be reliable; classes of counts.
-ITEM_BITS, CLASSES = 6, 8
+_PAIR, _TRIPLE, _LEVEL = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+HASHES, BASE = 4, 1.5
+#: Bits of the filter for an item, at least.
+ITEM_BITS = 8
 #: Tokens of a chunk (a longer text is one by itself), and bytes of text for each segment.
-GATHER, SEGMENT_TEXT = 1 << 20, 1 << 22
+GATHER, SEGMENT_TEXT = 1 << 18, 1 << 22
+#: Segments at least, as soon as there is text for them: what a chunk sends to one stays small.
+FEWEST = 1 << 10
+#: A chunk is a row of a megabyte or two: few of them are read at a time.
+_WIDE = {"spark.sql.parquet.columnarReaderBatchSize": "4"}
+#: Bits of an n-gram's code beyond those that number the bytes of the corpus. A token of prose has some
+#: six bytes and two n-grams, so fewer than one in 90 meets another one's code: less than the filter's
+#: own false positives.
+SPARE = 5
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
-def level_value(level: np.ndarray) -> np.ndarray:
-    """The count that a level stands for: the middle of the whole numbers it covers; 0 for 0."""
+def level_range(level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest count that a level stands for; 0 for 0."""
     low, high = np.ceil(BASE ** (level - 1.0) - 1e-9), np.ceil(BASE ** (level + 0.0) - 1e-9) - 1
-    return np.where(level > 0, (low + np.maximum(low, high)) / 2, 0.0)
+    return np.where(level > 0, low, 0.0), np.where(level > 0, np.maximum(low, high), 0.0)
 
 
-def pair_codes(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Of each word the code of (word before it, word); the first of a text follows START."""
+def ngram_codes(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word the codes of (word before it, word) and (two words before it, word); the first
+    of a text follows START and has no triple: it repeats the pair."""
     before = np.empty_like(words)
     before[1:] = words[:-1]
     before[starts] = START
-    return mix(before * _PAIR + words)
+    pairs = mix(before * _PAIR + words)
+    triples = pairs.copy()
+    inner = np.ones(len(words), bool)
+    inner[starts] = False
+    inner = np.flatnonzero(inner)
+    triples[inner] = mix(pairs[inner - 1] * _TRIPLE + words[inner])
+    return pairs, triples
 
 
 @dataclass
 class LogBloom:
-    """Equal bit fields, or one of them by itself; an item's probes all lie in the field of its code."""
+    """A bit field, a power of two bits long."""
 
     bits: np.ndarray  # uint8
-    segments: int = SEGMENTS
 
-    @property
-    def segment_bits(self) -> int:
-        return len(self.bits) * 8 // self.segments
+    @classmethod
+    def of(cls, codes: np.ndarray, counts: np.ndarray) -> "LogBloom":
+        """The filter of distinct ``codes``, as large as their items need: none is left out."""
+        times = levels(counts)
+        items = int(times.sum()) if len(codes) else 0
+        out = cls(np.zeros(max(8, (1 << max(6, (items * ITEM_BITS - 1).bit_length())) // 8), np.uint8))
+        for j in range(1, int(times.max()) + 1 if len(codes) else 1):
+            for at in out._probes(codes[times >= j], j):
+                np.bitwise_or.at(out.bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        return out
+
+    def _probes(self, codes: np.ndarray, j: int) -> Iterator[np.ndarray]:
+        h = mix(codes + np.uint64(j * int(_LEVEL) % (1 << 64)))
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        for i in range(HASHES):
+            yield ((h + np.uint64(i) * step) & np.uint64(len(self.bits) * 8 - 1)).astype(np.int64)
 
     def level(self, codes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(codes), np.int64)
         alive, j = np.arange(len(codes)), 1
-        base = (codes >> np.uint64(54)).astype(np.int64) * self.segment_bits if self.segments > 1 else np.zeros(len(codes), np.int64)
         while len(alive):
-            for i in range(HASHES):  # most absent items fail at the first probe already
-                if i == 0:
-                    h = mix(codes[alive] + np.uint64(j * int(_LEVEL) % (1 << 64)))
-                at = ((h + np.uint64(i) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64(self.segment_bits - 1)).astype(np.int64) + base[alive]
-                ok = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                alive, h = alive[ok], h[ok]
+            hit = np.ones(len(alive), bool)
+            for at in self._probes(codes[alive], j):
+                hit &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            alive = alive[hit]
             out[alive] = j
             j += 1
         return out
 
 
-def probes(codes: np.ndarray, j: int | np.ndarray, segment_bits: int) -> Iterator[np.ndarray]:
-    h = mix(codes + np.asarray(j, np.uint64) * _LEVEL)
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    for i in range(HASHES):
-        yield ((h + np.uint64(i) * step) & np.uint64(segment_bits - 1)).astype(np.int64)
-
-
-class _Segment:
-    """Bits of one segment, kept apart by class of count so that rare ones can stay out."""
-
-    def __init__(self, segment_bits: int):
-        self.bits = np.zeros((CLASSES, segment_bits // 8), np.uint8)
-        self.items = np.zeros(CLASSES, np.int64)
-
-    def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
-        size = self.bits.shape[1] * 8
-        q = levels(counts)
-        kind = np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64), CLASSES - 1)
-        for c in np.unique(kind):
-            own = kind == c
-            times = q[own]
-            self.items[c] += times.sum()
-            every = np.repeat(codes[own], times)
-            j = np.arange(len(every)) - np.repeat(np.cumsum(times) - times, times) + 1
-            for at in probes(every, j, size):
-                np.bitwise_or.at(self.bits[c], at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-
-    def sealed(self) -> bytes:
-        out, items = np.zeros(self.bits.shape[1], np.uint8), 0
-        for c in range(CLASSES - 1, -1, -1):
-            items += self.items[c]
-            if c < CLASSES - 1 and items * ITEM_BITS > out.size * 8:
-                break
-            out |= self.bits[c]
-        return out.tobytes()
-
-
-def filled(codes: np.ndarray, counts: np.ndarray) -> LogBloom:
-    """The filter of distinct ``codes``, as large as their items need: none is left out."""
-    items = int(levels(counts).sum()) if len(counts) else 0
-    segment = _Segment(1 << max(6, (items * ITEM_BITS - 1).bit_length()))
-    segment.add(codes, counts)
-    return LogBloom(np.frombuffer(segment.sealed(), np.uint8), 1)
-
-
 def _planes(x: np.ndarray) -> bytes:
     """Numbers byte by byte, all lowest bytes first: the empty high bytes compress away."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
@@ -147,23 +133,25 @@ def _unpacked(b: bytes) -> np.ndarray:
     return np.cumsum(_unplaned(b, np.uint64), dtype=np.uint64)
 
 
-def _runs(codes: np.ndarray, segments: int) -> np.ndarray:
-    """Where the codes of each segment begin among sorted ones, and where the last end."""
-    step = (1 << 64) // segments
-    return np.append(np.searchsorted(codes, np.arange(segments, dtype=np.uint64) * np.uint64(step % (1 << 64))), len(codes))
+def _segment(codes: np.ndarray, below: int) -> np.ndarray:
+    return codes >> np.uint64(below) if below < 64 else np.zeros(len(codes), np.uint64)
 
 
-def _told(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[dict]]:
-    """Rows of batches in groups of equal values in column ``by``, by which they are sorted."""
-    held: list[dict] = []
+def _told(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
+    """Rows of batches in groups of equal values in column ``by``, by which they are sorted. (Slices:
+    nothing is copied before its group is at hand.)"""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for row in batch.to_pylist():
-            if held and held[0][batch.schema.names[by]] != row[batch.schema.names[by]]:
-                yield held
+        key = batch.column(by).to_numpy()
+        ends = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        for a, b in zip(ends, ends[1:]):
+            if held and a < b and held[0].column(by)[0].as_py() != key[a]:
+                yield pa.Table.from_batches(held)
                 held = []
-            held.append(row)
+            if a < b:
+                held.append(batch.slice(a, b - a))
     if held:
-        yield held
+        yield pa.Table.from_batches(held)
 
 
 def _chunks(rows: DataFrame) -> DataFrame:
@@ -199,9 +187,17 @@ def _chunks(rows: DataFrame) -> DataFrame:
     return rows.select("id", "text", "held_out").mapInArrow(run, f"chunk long, words binary, at binary, sizes binary, ids array<{kind}>, held_out array<boolean>")
 
 
-def _asked(chunks: DataFrame, segments: int) -> DataFrame:
-    """For each chunk and segment the codes of pairs and the words that lie in it, each with its
-    count in training texts."""
+def _ngrams(words: np.ndarray, at: np.ndarray, sizes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, of so many bits, of a chunk's pairs and triples, in order; and of each token
+    the places of its pair and its triple among them (2 rows)."""
+    both = np.concatenate(ngram_codes(words[at], np.cumsum(sizes) - sizes)) >> np.uint64(64 - bits)
+    codes, of = np.unique(both, return_inverse=True)
+    return codes, of.reshape(2, -1)
+
+
+def _asked(chunks: DataFrame, segment_bits: int, bits: int) -> DataFrame:
+    """For each chunk and segment the codes of n-grams and the words that lie in it, each with its
+    count in training texts; no row where there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,38 +206,44 @@ def _asked(chunks: DataFrame, segments: int) -> DataFrame:
                 words, at, sizes = _unpacked(packed.as_py()), _unplaned(at.as_py(), np.int32), _unplaned(sizes.as_py(), np.int64)
                 learnt = np.repeat(~held_out.values.fill_null(True).to_numpy(zero_copy_only=False).astype(bool), sizes)
                 seen = np.bincount(at, weights=learnt, minlength=len(words)).astype(np.int64)
-                codes, of = np.unique(pair_codes(words[at], np.cumsum(sizes) - sizes), return_inverse=True)
-                times = np.bincount(of, weights=learnt, minlength=len(codes)).astype(np.int64)
-                p, q = _runs(codes, segments), _runs(words, segments)
+                codes, of = _ngrams(words, at, sizes, bits)
+                first = np.cumsum(sizes) - sizes
+                times = np.bincount(of[0], weights=learnt, minlength=len(codes))
+                learnt[first] = False  # where there is no triple
+                times += np.bincount(of[1], weights=learnt, minlength=len(codes))
+                times = times.astype(np.int64)
+                own, others = _segment(codes, bits - segment_bits), _segment(words, 64 - segment_bits)
+                some = np.union1d(own, others)
+                p, q = np.append(np.searchsorted(own, some), len(own)), np.append(np.searchsorted(others, some), len(others))
                 cut = lambda x, ends: pa.array([_packed(x[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())  # noqa: B023, E731
                 counts = pa.array([_planes(np.append(times[a:b], seen[c:d])) for a, b, c, d in zip(p, p[1:], q, q[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(segments, chunk.as_py())), pa.array(np.arange(segments, dtype=np.int32)), cut(codes, p), cut(words, q), counts], names=["chunk", "segment", "codes", "words", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk.as_py())), pa.array(some.astype(np.int64)), cut(codes, p), cut(words, q), counts], names=["chunk", "segment", "codes", "words", "counts"])
 
-    return chunks.select("chunk", "words", "at", "sizes", "held_out").mapInArrow(run, "chunk long, segment int, codes binary, words binary, counts binary")
+    return chunks.select("chunk", "words", "at", "sizes", "held_out").mapInArrow(run, "chunk long, segment long, codes binary, words binary, counts binary")
 
 
 def _answers(asked: DataFrame) -> DataFrame:
-    """Of each chunk and segment the levels of its pairs and the counts of its words, in their
+    """Of each chunk and segment the levels of its n-grams and the counts of its words, in their
     order; and one row a segment (chunk null) with the segment's share of N, V and of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _told(batches, 1):
-            codes, words = ([_unpacked(r[c]) for r in rows] for c in ("codes", "words"))
-            counts = [_unplaned(r["counts"], np.int64) for r in rows]
+            codes, words = ([_unpacked(x.as_py()) for x in rows.column(c)] for c in ("codes", "words"))
+            counts = [_unplaned(x.as_py(), np.int64) for x in rows.column("counts")]
             pairs, at = np.unique(np.concatenate(codes), return_inverse=True)
             times = np.bincount(at, weights=np.concatenate([c[: len(x)] for c, x in zip(counts, codes)]), minlength=len(pairs)).astype(np.int64)
-            bloom = filled(pairs[times > 0], times[times > 0])
+            bloom = LogBloom.of(pairs[times > 0], times[times > 0])
             level = bloom.level(pairs).astype(np.uint8)[at]
             kinds, of = np.unique(np.concatenate(words), return_inverse=True)
             seen = np.bincount(of, weights=np.concatenate([c[len(x) :] for c, x in zip(counts, codes)]), minlength=len(kinds)).astype(np.int64)
             told = seen[of]
             i, j = np.cumsum([0, *map(len, codes)]), np.cumsum([0, *map(len, words)])
-            n = len(rows)
+            n = rows.num_rows
             none = [None] * n
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([*[r["chunk"] for r in rows], None], pa.int64()),
-                    pa.array([rows[0]["segment"]] * (n + 1), pa.int32()),
+                    pa.array([*rows.column("chunk").to_pylist(), None], pa.int64()),
+                    pa.array([rows.column("segment")[0].as_py()] * (n + 1), pa.int64()),
                     pa.array([*[level[a:b].tobytes() for a, b in zip(i, i[1:])], None], pa.binary()),
                     pa.array([*[_planes(told[a:b]) for a, b in zip(j, j[1:])], None], pa.binary()),
                     pa.array([*none, int(seen.sum())], pa.int64()),
@@ -252,60 +254,60 @@ def _answers(asked: DataFrame) -> DataFrame:
             )
 
     rows = asked.repartition(shuffle_parts(asked.sparkSession), "segment").sortWithinPartitions("segment")
-    return rows.mapInArrow(run, "chunk long, segment int, levels binary, seen binary, n long, v long, texts long")
+    return rows.mapInArrow(run, "chunk long, segment long, levels binary, seen binary, n long, v long, texts long")
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", mu: float = 3000.0, hot: int = 1 << 18, max_bits: int = 1 << 29) -> DataFrame:
-    """For each row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
-    ``hot`` and ``max_bits``, bounds of a filter that was broadcast, are taken and have no effect."""
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", mu: float = 300.0, nu: float = 10.0) -> DataFrame:
+    """For each row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
+    importable(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (~train).alias("held_out"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks = written(_chunks(rows), "chunks")
-    answers = written(_answers(_asked(chunks, 1 << (size // SEGMENT_TEXT).bit_length())), "answers")
+    segment_bits = max((size // SEGMENT_TEXT).bit_length(), min(FEWEST, size >> 18).bit_length() - 1, 0)
+    bits = min(64, max(32, size.bit_length() + SPARE))
+    with set_for(spark, _WIDE):
+        answers = written(_answers(_asked(chunks, segment_bits, bits)), "answers")
     total = answers.filter("chunk is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "texts")]).first()
     tokens, texts = total["n"], total["texts"]
     below = tokens + 0.1 * (total["v"] + 1)
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:  # a chunk's tokens come first, then its answers by segment
-            chunk = batch.column(0).to_numpy()
-            ends = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
-            for a, b in zip(ends, ends[1:]):
-                if held and a < b and held[0].column(0)[0].as_py() != chunk[a]:
-                    yield scored(held)
-                    held = []
-                if a < b:
-                    held.append(batch.slice(a, b - a))
-        if held:
-            yield scored(held)
+        for met in _told(batches, 0):  # a chunk's tokens come first, then its answers by segment
+            yield scored(met)
 
-    def scored(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        own = parts[0].slice(0, 1)
-        level = np.frombuffer(b"".join(x for p in parts for x in p.column(2).to_pylist() if x), np.uint8)
-        count = np.concatenate([_unplaned(x, np.int64) for p in parts for x in p.column(3).to_pylist() if x]).astype(np.float64)
+    def scored(met: pa.Table) -> pa.RecordBatch:
+        own = met.slice(0, 1).to_batches()[0]
+        level = np.frombuffer(b"".join(x.as_py() for x in met.column(2) if x.is_valid), np.uint8)
+        count = np.concatenate([_unplaned(x.as_py(), np.int64) for x in met.column(3) if x.is_valid]).astype(np.float64)
         words = _unpacked(own.column(4)[0].as_py())
         at, sizes = _unplaned(own.column(5)[0].as_py(), np.int32), _unplaned(own.column(6)[0].as_py(), np.int64)
         starts = np.cumsum(sizes) - sizes
-        codes, of = np.unique(pair_codes(words[at], starts), return_inverse=True)
+        codes, (pair, triple) = _ngrams(words, at, sizes, bits)
         if len(codes) != len(level) or len(words) != len(count):
             raise RuntimeError("a chunk has not got all of its answers")
-        pair_count = level_value(np.arange(256))[level][of]
+        least, most = (v[level] for v in level_range(np.arange(256)))
         context = np.empty(len(at))
         context[1:] = count[at[:-1]]
         context[starts] = texts
         base = (count + 0.1) / below
-        lm = np.log10((np.minimum(pair_count, context) + mu * base[at]) / (context + mu))
+        lm = (np.minimum(least[pair], context) + mu * base[at]) / (context + mu)
+        inner = np.ones(len(at), bool)
+        inner[starts] = False
+        inner = np.flatnonzero(inner)
+        context = most[pair[inner - 1]]
+        lm[inner] = (np.minimum(least[triple[inner]], context) + nu * lm[inner]) / (context + nu)
+        lm = np.log10(lm)
         sums = [sizes, np.add.reduceat((count > 0).astype(np.int64)[at], starts), np.add.reduceat(np.log10(base)[at], starts), np.add.reduceat(lm, starts)]
         return pa.RecordBatch.from_arrays([own.column(7).flatten(), own.column(8).flatten(), *map(pa.array, sums)], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     own, told = ("words", "at", "sizes", "ids", "held_out"), ("levels", "seen")
-    asking = chunks.select("chunk", F.lit(-1).alias("segment"), *[F.lit(None).cast("binary").alias(c) for c in told], *own)
+    asking = chunks.select("chunk", F.lit(-1).cast("long").alias("segment"), *[F.lit(None).cast("binary").alias(c) for c in told], *own)
     telling = answers.filter("chunk is not null").select("chunk", "segment", *told, *[F.lit(None).cast(chunks.schema[c].dataType).alias(c) for c in own])
     met = asking.unionByName(telling).repartition(shuffle_parts(spark), "chunk").sortWithinPartitions("chunk", "segment")
-    out = met.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    with set_for(spark, _WIDE):
+        out = written(met.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
