@@ -1,38 +1,46 @@
 import random
+import zlib
+
+from pyspark.sql import functions as F
 
 from planwright.llm import span_dedup as sd
 
 
+def crc(t):
+    return zlib.crc32(t.encode()) & 0x7FFFFFFF
+
+
 def brute(rows, min_units, min_words):
-    """Spans as tuples of their sentences; what a later one covers goes."""
+    """Spans as tuples of their words; what a later one covers goes."""
     occurrences, parts = {}, {}
     for i, t in rows:
         if not t:
             continue
-        pieces, counts, some = sd.units(t)
-        assert "".join(pieces) == t
-        parts[i, t] = pieces, some
-        keys = [pieces[u].strip().lower() for u in some]
-        for a in range(len(some)):
+        pieces, counts = sd.units(t)
+        assert not pieces or "".join(pieces) == t
+        parts[i, t] = pieces
+        keys = [[w.strip(" \t\n\x0b\x0c\r").encode().lower() for w in sd._WORD.findall(p)] for p in pieces]
+        assert [len(k) for k in keys] == counts.tolist()
+        for a in range(len(pieces)):
             words, b = 0, a
-            while b < len(some) and (b - a < min_units or words < min_words):
-                words += counts[some[b]]
+            while b < len(pieces) and (b - a < min_units or words < min_words):
+                words += counts[b]
                 b += 1
             if b - a >= min_units and words >= min_words:
-                occurrences.setdefault(tuple(keys[a:b]), set()).add((-1 if i is None else i, a, b, t))
+                key = tuple(w for k in keys[a:b] for w in k)
+                occurrences.setdefault(key, set()).add((-1 if i is None else i, crc(t), a, b, t))
     gone = {}
     for found in occurrences.values():
-        first = min(found)[:2]
-        for i, a, b, t in found:
-            if (i, a) != first:
+        first = min(found)[:3]
+        for i, c, a, b, t in found:
+            if (i, c, a) != first:
                 gone.setdefault((i, t), set()).update(range(a, b))
     out = []
     for i, t in rows:
         dead = gone.get((-1 if i is None else i, t), set())
         if t:
-            pieces, some = parts[i, t]
-            drop = {some[u] for u in dead}
-            out.append((i, len(some), len(dead), "".join(p for j, p in enumerate(pieces) if j not in drop)))
+            pieces = parts[i, t]
+            out.append((i, len(pieces), len(dead), "".join(p for j, p in enumerate(pieces) if j not in dead) if dead else t))
         else:
             out.append((i, 0, 0, t))
     return sorted(out, key=repr)
@@ -57,17 +65,49 @@ def test_planted_passage_goes_from_all_but_the_first(spark):
         rows = [(i, make(30) + ". " + make(20) + ".\n" + (passage + "\n" if i % 2 else "") + make(25) + ".") for i in range(10)]
         got = {r.doc_id: r for r in sd.span_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         for i, t in rows:
-            removed = i % 2 == 1 and i != 1
+            removed = i % 2 == 1 and i != 1  # spans of it stay in the first
             assert (got[i].n_removed > 0) == removed
             assert removed or got[i].text == t
             assert not removed or len(got[i].text) <= len(t) - 0.8 * len(passage)
 
 
 def test_units_of_odd_texts():
-    for t in ("a", " \n \n", "x" * 1000, "one two " * 200, "Ende. Neu! Was?\nJa。はい", ". . .", "a.b c.d"):
-        pieces, counts, some = sd.units(t)
-        assert "".join(pieces) == t and sum(counts) == len(t.split()) or "。" in t
+    for t in ("a", "x" * 1000, "one two " * 200, "  Ende. Neu! Was?\nJa。はい", ". . .", "a.b c.d", "日本語のテキスト。" * 9 + " end", "\u00a0x y"):
+        pieces, counts = sd.units(t)
+        assert "".join(pieces) == t and sum(counts) == len(sd._WORD.findall(t))
         assert counts.max(initial=0) <= sd.LONGEST
+    assert [len(x) for x in sd.units(" \n \n")] == [0, 0]
+
+
+def test_pieces_do_not_depend_on_the_texts_beside(corpus):
+    texts = [(t or "").encode() for _, t, *_ in corpus]
+    every = sd.pieces(texts)
+    start, end, h1, h2 = every.spans(2, 12)
+    for i, t in enumerate(texts):
+        alone = sd.pieces([t])
+        lo, hi = every.first[i : i + 2]
+        own = (start >= lo) & (start < hi)
+        for a, b in zip((start[own] - lo, end[own] - lo, h1[own], h2[own]), alone.spans(2, 12)):
+            assert a.tolist() == b.tolist()
+
+
+def test_result_names_and_values_of_the_input_stay(docs):
+    mine = docs.withColumn("n_units", F.lit(-7)).withColumn("N_REMOVED", F.lit("mine"))
+    out = sd.span_dedup(mine)
+    assert out.columns == [*mine.columns, "n_units_", "n_removed_"]
+    assert out.select("n_units", "N_REMOVED").distinct().collect() == [(-7, "mine")]
+    assert sorted(map(tuple, out.select("doc_id", "n_units_", "n_removed_", "text").collect()), key=repr) == result(sd.span_dedup(docs))
+
+
+def test_many_rows_of_one_id(spark, corpus):
+    """Equal rows, and different texts under one id or under none."""
+    texts = [t for _, t, *_ in corpus if t][:60]
+    for ident in ("null", "5"):
+        rows = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr(f"cast({ident} as long) as doc_id", "text")
+        expected = brute([(None if ident == "null" else 5, t) for t in texts], 2, 25)
+        assert result(sd.span_dedup(rows)) == expected
+    same = spark.range(20_000).selectExpr("cast(7 as long) as doc_id").withColumn("text", F.lit(texts[0]))
+    assert sd.span_dedup(same).agg(F.sum("n_removed"), F.count("*")).first() == (0, 20_000)
 
 
 def test_empty(nothing):
