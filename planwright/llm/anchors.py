@@ -96,3 +96,15 @@ def _block(group: list[tuple[int, int, bytes]], window: int, gram: int) -> tuple
     of = np.searchsorted(starts, first, "right") - 1
     text, offset = np.array([g[0] for g in group]), np.array([g[1] for g in group])
     return text[of], grams[place[first]], segment, first - starts[of] + offset[of], last - starts[of] + offset[of]
+
+
+def gram_place(part: bytes, g: int, windows: int, window: int, gram: int) -> int:
+    """Where the gram of hash ``g`` (as a signed number) lies in a segment of so many windows that all
+    point at it: the first place that is in every window."""
+    x = np.frombuffer(part, np.uint8)
+    up, down = _powers(len(x) + 1)
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(_TABLE[x] * up[: len(x)], out=sums[1:])
+    grams = mix((sums[gram:] - sums[: len(x) + 1 - gram]) * down[: len(x) + 1 - gram])
+    at = np.flatnonzero(grams[windows - 1 : window - gram + 1] == np.uint64(g % (1 << 64)))
+    return windows - 1 + int(at[0])

@@ -24,11 +24,62 @@ def test_order_and_prefixes_are_those_of_plain_sorting():
             assert lcp.tolist() == [0] + [common(a, b) for a, b in zip(expected, expected[1:])]
 
 
-def test_large_alphabets_fall_back_to_doubling(monkeypatch):
-    monkeypatch.setattr("planwright.llm.suffix_sort.WIDEST", 2)
-    rng = random.Random(2)
-    s = [rng.randint(1, 3) for _ in range(300)] + [0]
-    assert suffix_order(np.array(s, np.uint16), 250)[0].tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+def test_order_over_large_alphabets_and_short_caps():
+    """Names by the thousand, so that buckets leave the queue together, on every level."""
+    rng = random.Random(12)
+    for trial in range(60):
+        n, k, cap = rng.randint(1, 700), rng.choice([2, 30, 200, 5000]), rng.choice([2, 3, 10, 254])
+        s = [rng.randint(1, k) for _ in range(n)]
+        s = (s + s[: n // 2] + s[n // 3 :] if trial % 2 else s) + [0]
+        order, lcp = suffix_order(np.array(s), cap, Scratch(0) if trial % 3 else None)
+        key = lambda i: s[i : i + cap]  # noqa: E731, B023
+        assert sorted(order.tolist()) == list(range(len(s))) and [key(i) for i in order] == sorted(map(key, order))
+        common = lambda a, b: next((c for c in range(cap) if a + c >= len(s) or b + c >= len(s) or s[a + c] != s[b + c]), cap)  # noqa: E731, B023
+        assert lcp.tolist() == [0] + [common(a, b) for a, b in zip(order, order[1:])]
+
+
+def test_the_recursion_goes_deep_on_prose(sf_dir):
+    import pyarrow.parquet as pq
+
+    texts = [t.encode() for t in pq.read_table(f"{sf_dir}/documents.parquet").column("text").to_pylist() if t]
+    scratch = Scratch(1 << 20)
+    body = np.frombuffer(b"\0".join(texts)[: 1 << 20], np.uint8).astype(np.uint16) + 2
+    order, lcp = suffix_order(np.append(body, 0), 200, scratch)
+    assert scratch.depth >= 3 and scratch.files > 5
+    at = np.random.default_rng(0).choice(len(body) - 1, 3000, replace=False) + 1
+    raw = body.astype(">u2").tobytes() + b"\0\0"
+    for i in at.tolist():
+        a, b = (raw[2 * o :][:400] for o in order[i - 1 : i + 1])
+        n = min(next((c for c in range(0, 400, 2) if a[c : c + 2] != b[c : c + 2]), 400), 400) // 2
+        assert a <= b and lcp[i] == n
+
+
+def test_pieces_split_by_halves_keep_equal_windows_together():
+    rng = random.Random(4)
+    length, gram = 40, 8
+    block = bytes(rng.choice(b"abcd") for _ in range(40))
+    pieces = []
+    for i in range(12):
+        left, right = (bytes(rng.choice(b"xy") for _ in range(60)) for _ in range(2))
+        cut = rng.randint(0, 30)
+        text = left + block[:cut] + block[cut:] + right
+        place = 60 + 16  # the gram lies inside the block
+        pieces.append((0, i, text[place + gram - length : place + length], length - gram))
+    open_ = [(i, a, place, 0, length - gram + 1, part) for a, i, part, place in pieces]
+    windows = Counter(p[w : w + length] for _, _, p, _ in pieces for w in range(len(p) - length + 1))
+    while any(h - low > 1 for *_, low, h, _ in open_):
+        open_ = [(i, a, p, low, h, part) for i, a0, p0, low0, h0, part0 in open_ for key, a, p, low, h, part in ((x if h0 - low0 > 1 else (0, a0, p0, low0, h0, part0)) for x in (sx.halves(a0, p0, low0, h0, part0, length) if h0 - low0 > 1 else [None]))]
+    assert Counter(part for *_, part in open_) == windows  # every window once, by itself
+    keys = {}
+    for a, i, part, place in pieces:
+        for key, begin, *_, sub in sx.halves(a, place, 0, length - gram + 1, part, length):
+            keys.setdefault(key, []).append(sub)
+    by_window = {}
+    for key, subs in keys.items():
+        for sub in subs:
+            for w in range(len(sub) - length + 1):
+                by_window.setdefault(sub[w : w + length], set()).add(key)
+    assert all(len(v) == 1 for v in by_window.values())
 
 
 @pytest.mark.parametrize("memory", [0, 1 << 30])
@@ -97,3 +148,25 @@ def test_same_as_brute_force(corpus, docs, clashing, monkeypatch):
 
 def test_empty(nothing):
     assert sx.suffix_dedup(nothing).count() == 0
+
+
+def test_a_line_in_very_many_texts(spark, monkeypatch):
+    """One anchor, each time in other surroundings: split until no shard is large."""
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, longer = noise(150), noise(215)
+    rows = [(i, noise(220) + (line if i % 3 else longer) + noise(rng.randint(0, 220))) for i in range(600)]
+    monkeypatch.setattr(sx, "SHARD_BYTES", 4000)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute(rows, 200)
+    assert sum(r[2] > 0 for r in expected) >= 190
+    assert result(sx.suffix_dedup(df)) == expected
+
+
+def test_many_equal_rows(spark):
+    from pyspark.sql import functions as F
+
+    text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(500))
+    for ident in (F.lit(None).cast("long"), F.lit(7).cast("long")):
+        rows = spark.range(20_000).select(ident.alias("doc_id"), F.lit(text).alias("text"))
+        assert sx.suffix_dedup(rows).agg(F.count("*"), F.min("n_removed"), F.max("n_spans")).first() == (20_000, 500, 1)
