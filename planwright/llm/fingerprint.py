@@ -1,14 +1,16 @@
 """Document fingerprints from closed syncmers, in DataFrame operations only.
 
-A text is cut into words (a character at a time in scripts that do not put spaces between words).
-Of all runs of ``K`` words, a closed syncmer is one whose smallest inner run of ``S`` words, by
+A text is cut into words (a character at a time in scripts that do not put spaces between words, and
+words of more than ``LONG`` characters into pieces of so many); a text of at most ``SHORT`` characters
+is cut into its characters, so that an edit of a few words or of one long string leaves most of it.
+Of all runs of ``K`` of these, a closed syncmer is one whose smallest inner run of ``S``, by
 hash, is its first or its last. That depends on nothing around the run, so two texts that share a
 passage choose the same anchors in it. The fingerprint is the ``SKETCH`` smallest hashes of the
 syncmers; the likeness of two fingerprints estimates the Jaccard similarity of the syncmer sets
 (and is exact when both are smaller than the sketch).
 
-Defined results: null text counts as empty; a text without words has the empty fingerprint; a text
-with words but no syncmer is one anchor as a whole; two equal fingerprints have likeness 1, an
+Defined results: null text counts as empty; a text of white space has the empty fingerprint; another
+one without a syncmer is one anchor as a whole; two equal fingerprints have likeness 1, an
 empty and another one 0; rows that share an id follow each other in the order of their text; a
 null id comes after all others; other columns are ignored.
 """
@@ -24,10 +26,12 @@ from planwright.llm.common import documents
 
 #: Words of a run, words of an inner run, hashes of a fingerprint.
 K, S, SKETCH = 5, 2, 64
+#: Characters of a text that is taken by characters; characters of a piece of a word.
+SHORT, LONG = 256, 16
 #: Rows that are put in order together when each document is matched with the one after it.
 ROWS_IN_ORDER = 2048
 _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-_WORD = rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+"
+_WORD = rf"[{_UNSPACED}]|[^\s{_UNSPACED}]{{1,{LONG}}}"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -36,8 +40,12 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def syncmers(text: Column) -> Column:
-    """Array of (position, hash) of the closed syncmers of a text; positions count words from 0."""
-    words = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_WORD), 0), lambda w: F.xxhash64(w))
+    """Array of (position, hash) of the closed syncmers of a text; positions count words (or
+    characters) from 0."""
+    text = F.coalesce(text, F.lit(""))
+    by_character = F.regexp_extract_all(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit("(?s)."), 0)
+    parts = F.when(F.length(text) <= SHORT, by_character).otherwise(F.regexp_extract_all(text, F.lit(_WORD), 0))
+    words = F.transform(parts, lambda w: F.xxhash64(w))
     n_inner = K - S + 1
 
     def choose(inner: Column) -> Column:
