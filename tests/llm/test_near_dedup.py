@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from planwright.llm import near_dedup as nd
 from planwright.llm.components import components
@@ -100,13 +101,70 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_second_round_leaves_settled_groups_alone(spark, monkeypatch):
-    monkeypatch.setattr(nd, "BLOCK", 10)
-    rows = [(1, 0, c, 7) for c in range(100)] + [(2, 0, c, 7 if c < 95 else c) for c in range(100)]
-    members = spark.createDataFrame(rows, "key long, index int, cls long, comp long")
-    first = nd._units(members, False)
-    assert first.count() == 200 and first.filter("i <> j").count() == 0
-    second = nd._units(members, True)
-    assert second.filter("key = 1").count() == 0
-    # Only the block with other components meets itself and the nine settled ones.
-    assert {(r.i, r.j) for r in second.select("i", "j").distinct().collect()} == {(i, 9) for i in range(10)}
+def test_second_level_keys_in_small_blocks(spark, monkeypatch):
+    rows = near_rows()[:30]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(nd, "BLOCK", 8)
+    monkeypatch.setattr(nd, "second_count", lambda bound: 0)
+    assert result(nd.near_dedup(df, k=4)) == brute(rows, 4, 80, 100)
+
+
+def test_every_pair_within_the_bound_shares_a_key_of_each_level():
+    rng = np.random.default_rng(1)
+    bound = nd.distance_bound(0.8)
+    for _ in range(200):
+        a = rng.integers(0, 1 << 16, nd.SYMBOLS).astype(np.uint16)
+        b = a.copy()
+        b[rng.choice(nd.SYMBOLS, bound, replace=False)] ^= 1
+        sig, equal = np.stack([a, b]), (a == b)[None]
+        first = int(nd.first_key(equal, bound // nd.CHUNKS)[0])
+        key = nd.index_keys(sig, bound // nd.CHUNKS)[:, first]
+        assert key[0] == key[1]
+        found, number = nd.second_keys(sig, key, np.array([first, first]), bound)
+        assert ((number >= 0).sum(axis=1) == nd.second_count(bound)).all()
+        shared = number[0][(found[0] == found[1]) & (number[0] >= 0)]
+        assert len(shared) and sum(nd.claimed(equal, np.array([i]), bound, True)[0] for i in shared) == 1
+
+
+def test_unlike_classes_under_one_key_stay_linear(spark):
+    """50,000 classes that agree in one chunk and nothing else: rows, and none of them in one task."""
+    n, bound = 50_000, nd.distance_bound(0.8)
+    sig = np.random.default_rng(4).integers(0, 1 << 16, (n, nd.SYMBOLS)).astype(np.uint16)
+    sig[:, :4] = 7
+    classes = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sig)], "cls long, sig binary").repartition(8).cache()
+    members = nd._members(classes, bound // nd.CHUNKS)
+    per_key = members.groupBy("key").count().orderBy("count", ascending=False).limit(5).collect()
+    assert [r["count"] for r in per_key[:4]] == [n] * 4 and all(r["count"] < 50 for r in per_key[4:])
+    one = members.filter(f"key = {per_key[0]['key']}").select("key", "index", "cls")
+    second = nd._second_members(one, classes, bound)
+    assert second.count() < n  # of 90 n keys, those that two classes share by chance
+
+
+def test_a_settled_group_meets_strangers_only(spark):
+    """5,000 classes of one component and 40 others, 10 blocks: linear, and every pair across once."""
+    rows = spark.range(5040).select(F.lit(1).cast("long").alias("key"), F.lit(0).alias("index"), F.col("id").alias("cls"), F.when(F.col("id") < 5000, 3).otherwise(F.col("id")).alias("comp"), F.lit(3).cast("long").alias("main"), F.lit(10).alias("bm"), F.lit(2).alias("bt"))
+    units = nd._paired(rows).cache()
+    assert units.filter("cls < 5000").count() == 2 * 5000 and units.filter("cls >= 5000").count() == 40 * 12
+    a, b = units.alias("a"), units.alias("b")
+    on = (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.comp") != F.col("b.comp"))
+    same = (F.col("a.i") < 0) & (-1 - F.col("a.i") == F.col("a.j"))
+    met = a.join(b, on).filter(same | (F.col("a.side") != F.col("b.side"))).select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y"))
+    assert met.count() == met.distinct().count() == 5000 * 40 + 40 * 39 // 2
+
+
+def test_one_row_of_each_group_stays(spark, docs, corpus):
+    texts = [r[1] for r in corpus]
+    groups = {r[0]: r[2] for r in brute(list(enumerate(texts)), 5, 80, 100)}
+    for ident in ("null", "5", "id"):
+        rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr(f"cast({ident} as long) as doc_id", "text", "id as row", "1 as th")
+        rows = rows.unionByName(rows.filter("row < 40"))
+        out = nd.one_of_each(rows)
+        assert out.columns == rows.columns
+        left = [r.row for r in out.collect()]
+        some = [i for i in left if (texts[i] or "").split()]
+        assert len(some) == len({groups[i] for i in some}) == len({groups[i] for i, t in enumerate(texts) if (t or "").split()})
+        if ident == "id":  # rows without words are in no group
+            assert len(left) - len(some) == sum(not (t or "").split() for t in texts)
+    same = spark.range(50_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same words in every row of it").alias("text"))
+    assert nd.one_of_each(same).count() == 1
+
