@@ -20,6 +20,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
@@ -34,8 +35,11 @@ from pyspark.sql import functions as F
 from planwright.llm.common import documents, importable, shuffle_parts, written
 from planwright.llm.tokens import raw, small
 
-#: Rows of a shard, about; members from which on a cluster has a bit of its own.
-SHARD, FREQUENT = 8192, 8
+#: Rows of a shard, about; members from which on a cluster has a bit of its own; bytes of a text that
+#: are words at once, about.
+SHARD, FREQUENT, SLICE = 8192, 8, 1 << 16
+
+_SPACE = re.compile(rb"[ \t-\r]")
 
 
 class Bin:
@@ -124,6 +128,20 @@ def pack(lengths: list[int], sources: list[int], clusters: list[int], capacity:
     return out
 
 
+def measured(text: bytes) -> tuple[int, int]:
+    """The number of words and a hash of them in lower case. Words take many times the bytes of their
+    text, so a long text goes in slices, each up to a space."""
+    n, digest, at = 0, xxhash.xxh3_64(), 0
+    while at < len(text):
+        space = _SPACE.search(text, at + SLICE)
+        end = space.start() if space else len(text)
+        words = text[at:end].lower().split()
+        if words:
+            digest.update(b" " * bool(n) + b" ".join(words))
+        n, at = n + len(words), end
+    return n, digest.intdigest() >> 1
+
+
 def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = 4096, per_source: int = 4, cluster_col: str | None = None) -> DataFrame:
     """One row for each piece: id, piece, start (in the document), n_tokens, bin, place (in the bin)."""
     spark = docs.sparkSession
@@ -134,13 +152,11 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in small(batches):
-            words = [t.lower().split() for t in raw(batch.column(2))]
-            clusters = batch.column(3)
-            if not cluster_col:
-                clusters = pa.array([xxhash.xxh3_64_intdigest(b" ".join(w)) >> 1 for w in words], pa.int64())
+            lengths, equal = zip(*map(measured, raw(batch.column(2))))
+            clusters = batch.column(3) if cluster_col else pa.array(equal, pa.int64())
             numbers = pa.array(np.arange(row, row + batch.num_rows))
             row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(w) + 1 for w in words], pa.int64()), clusters, numbers], names=["id", "source", "n", "cluster", "row"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n + 1 for n in lengths], pa.int64()), clusters, numbers], names=["id", "source", "n", "cluster", "row"])
 
     # The row numbers are written down with the lengths: a task that runs again deals the same way.
     light = written(rows.mapInArrow(measure, f"id {kind}, source string, n long, cluster long, row long"), "lengths")

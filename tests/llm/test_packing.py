@@ -2,6 +2,7 @@ import random
 import time
 from collections import defaultdict
 
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -102,3 +103,34 @@ def test_clusters_of_a_column(spark):
     for r in pk.best_fit(rows, capacity=100, cluster_col="group").collect():
         by_bin[r.bin].append(r.doc_id % 3)
     assert len(by_bin) == 4 and all(sorted(v) == [0, 1, 2] for v in by_bin.values())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("aB \t\n\x0b\x0c\r\x1c\x85é", max_size=40), st.integers(1, 9))
+def test_slices_change_neither_words_nor_hash(text, size):
+    before, pk.SLICE = pk.SLICE, size
+    try:
+        words = text.encode().lower().split()
+        assert pk.measured(text.encode()) == (len(words), xxhash.xxh3_64_intdigest(b" ".join(words)) >> 1)
+    finally:
+        pk.SLICE = before
+
+
+def test_memory_follows_the_bytes_of_a_long_text(spark, monkeypatch, tmp_path):
+    """Its words held at once took 42 times that."""
+    seen, small, text = str(tmp_path / "peaks"), pk.small, "Ab cd " * 1_000_000
+
+    def watched(batches):
+        import tracemalloc
+
+        for batch in small(batches):
+            tracemalloc.start()
+            yield batch
+            with open(seen, "a") as f:
+                f.write(f"{tracemalloc.get_traced_memory()[1]}\n")
+            tracemalloc.stop()
+
+    monkeypatch.setattr(pk, "small", watched)
+    out = pk.best_fit(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string"))
+    assert sum(r.n_tokens for r in out.collect()) == 2_000_001
+    assert max(map(int, open(seen))) < 3 * len(text)
